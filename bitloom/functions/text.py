@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _clean(text: str) -> str:
@@ -20,7 +21,7 @@ def _clean(text: str) -> str:
     return text.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _clean(t) if isinstance(t, str) else "")
 
@@ -78,30 +79,30 @@ _PTB_RULES = [
     (r"\"", r" '' "),
     (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"$1 $2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"$1 $2 "),
-    (r"(?i)\b(can)(not)\b", r" $1 $2 "),
-    (r"(?i)\b(d)('ye)\b", r" $1 $2 "),
-    (r"(?i)\b(gim)(me)\b", r" $1 $2 "),
-    (r"(?i)\b(gon)(na)\b", r" $1 $2 "),
-    (r"(?i)\b(got)(ta)\b", r" $1 $2 "),
-    (r"(?i)\b(lem)(me)\b", r" $1 $2 "),
-    (r"(?i)\b(more)('n)\b", r" $1 $2 "),
-    (r"(?i)\b(wan)(na)(?=\s)", r" $1 $2 "),
-    (r"(?i) ('t)(is)\b", r" $1 $2 "),
-    (r"(?i) ('t)(was)\b", r" $1 $2 "),
+    (r"(?iU)\b(can)(not)\b", r" $1 $2 "),
+    (r"(?iU)\b(d)('ye)\b", r" $1 $2 "),
+    (r"(?iU)\b(gim)(me)\b", r" $1 $2 "),
+    (r"(?iU)\b(gon)(na)\b", r" $1 $2 "),
+    (r"(?iU)\b(got)(ta)\b", r" $1 $2 "),
+    (r"(?iU)\b(lem)(me)\b", r" $1 $2 "),
+    (r"(?iU)\b(more)('n)\b", r" $1 $2 "),
+    (r"(?iU)\b(wan)(na)(?=\s)", r" $1 $2 "),
+    (r"(?iU) ('t)(is)\b", r" $1 $2 "),
+    (r"(?iU) ('t)(was)\b", r" $1 $2 "),
 ]
 
 # The published inverse rules that re-attach punctuation and clitics.
 _DETOKENIZE_RULES = [
-    (r"(?i)([ ]'t)\s(is)\b", r"$1$2"),
-    (r"(?i)([ ]'t)\s(was)\b", r"$1$2"),
-    (r"(?i)\b(can)\s(not)\b", r"$1$2"),
-    (r"(?i)\b(d)\s('ye)\b", r"$1$2"),
-    (r"(?i)\b(gim)\s(me)\b", r"$1$2"),
-    (r"(?i)\b(gon)\s(na)\b", r"$1$2"),
-    (r"(?i)\b(got)\s(ta)\b", r"$1$2"),
-    (r"(?i)\b(lem)\s(me)\b", r"$1$2"),
-    (r"(?i)\b(more)\s('n)\b", r"$1$2"),
-    (r"(?i)\b(wan)\s(na)\b", r"$1$2"),
+    (r"(?iU)([ ]'t)\s(is)\b", r"$1$2"),
+    (r"(?iU)([ ]'t)\s(was)\b", r"$1$2"),
+    (r"(?iU)\b(can)\s(not)\b", r"$1$2"),
+    (r"(?iU)\b(d)\s('ye)\b", r"$1$2"),
+    (r"(?iU)\b(gim)\s(me)\b", r"$1$2"),
+    (r"(?iU)\b(gon)\s(na)\b", r"$1$2"),
+    (r"(?iU)\b(got)\s(ta)\b", r"$1$2"),
+    (r"(?iU)\b(lem)\s(me)\b", r"$1$2"),
+    (r"(?iU)\b(more)\s('n)\b", r"$1$2"),
+    (r"(?iU)\b(wan)\s(na)\b", r"$1$2"),
     (r"([^' ])\s('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"$1$2 "),
     (r"([^' ])\s('[sS]|'[mM]|'[dD]|') ", r"$1$2 "),
     (r"(\S)\s('')", r"$1$2"),

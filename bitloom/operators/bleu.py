@@ -43,18 +43,13 @@ def bleu_counts(pairs: DataFrame, by: Sequence[str] = (), key: str = "sent_id")
         key, *by, tokenize_13a("hyp").alias("_h"), tokenize_13a("ref").alias("_r")
     )
 
-    def tagged(col: str, in_hyp: int) -> list[Column]:
-        return [
-            F.transform(
-                ngrams(col, n),
-                lambda g, n=n: F.struct(
-                    F.lit(n).alias("n"), g.alias("gram"), F.lit(in_hyp).alias("h"), F.lit(1 - in_hyp).alias("r")
-                ),
-            )
-            for n in range(1, ORDER + 1)
-        ]
-
-    grams = tokens.select(key, *by, F.inline_outer(F.concat(*tagged("_h", 1), *tagged("_r", 0))))
+    def tagged(col: str, n: int, in_hyp: int) -> Column:
+        marks = [F.lit(n).alias("n"), F.lit(in_hyp).alias("h"), F.lit(1 - in_hyp).alias("r")]
+        return F.transform(ngrams(col, n), lambda g: F.struct(g.alias("gram"), *marks))
+
+    orders = range(1, ORDER + 1)
+    sides = [tagged("_h", n, 1) for n in orders] + [tagged("_r", n, 0) for n in orders]
+    grams = tokens.select(key, *by, F.inline_outer(F.concat(*sides)))
     per_gram = grams.groupBy(key, *by, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
 
     def total(condition: Column, value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -110,45 +111,44 @@ def train_bpe(
     merges: list[tuple[str, str]] = []
 
     words = materialize(_spelled(pre_token_counts(lines), byte_ids), "bpe-words")
-    rounds, cached, done = 0, None, len(pieces) >= vocab_size
-    while not done:
-        accepted, used, ends = [], set(), False
-        for left, right, count in _top_pairs(words):
-            if count < min_frequency or len(pieces) >= vocab_size:
+    cached: list[DataFrame] = []  # the last two rewritten tables
+    for turn in count(1):
+        if len(pieces) >= vocab_size:
+            break
+        candidates = _top_pairs(words)
+        for table in cached[:-1]:  # the count above has filled the newer one
+            table.unpersist()
+        del cached[:-1]
+        accepted, used = [], set()
+        for left, right, freq in candidates:
+            if freq < min_frequency or len(pieces) >= vocab_size or len(accepted) == merges_per_round:
                 break
             if left in used or right in used:
                 if merges_per_round is None:
                     break
                 continue
+            used.update((left, right))
             joined = pieces[left] + pieces[right]
-            if joined in ids:
-                ends = merges_per_round is None
-            else:
+            known = joined in ids
+            if not known:
                 ids[joined] = len(pieces)
                 pieces.append(joined)
             merges.append((pieces[left], pieces[right]))
             accepted.append((left, right, ids[joined]))
-            used.update((left, right))
-            if ends or len(accepted) == merges_per_round:
+            if known and merges_per_round is None:
                 break
-        done = not accepted or len(pieces) >= vocab_size
-        if done:
+        if not accepted:
             break
         word = F.col("word")
         for left, right, new in accepted:
             word = F.replace(word, F.lit(f":{left};:{right};"), F.lit(f":{new};"))
-        rounds += 1
-        rewritten = words.select(word.alias("word"), "freq").filter(F.instr("word", ";:") > 0)
-        if rounds % ROUNDS_PER_TABLE == 0:
-            words, previous, cached = materialize(rewritten, "bpe-words"), cached, None
+        words = words.select(word.alias("word"), "freq").filter(F.col("word").contains(";:"))
+        if turn % ROUNDS_PER_TABLE == 0:
+            words = materialize(words, "bpe-words")
         else:
-            words, previous = rewritten.persist(StorageLevel.MEMORY_AND_DISK), cached
-            cached = words
-        if previous is not None:
-            words.count()
-            previous.unpersist()
-    if cached is not None:
-        cached.unpersist()
+            cached.append(words.persist(StorageLevel.MEMORY_AND_DISK))
+    for table in cached:
+        table.unpersist()
     return bpe_model(spark, pieces, merges)
 
 
