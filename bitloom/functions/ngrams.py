@@ -29,16 +29,18 @@ def tokenize_13a(col: Column | str) -> Column:
 
 
 def ngrams(tokens: Column | str, n: int) -> Column:
-    """All n-grams in order, each as one space-joined string."""
+    """All n-grams in order, each as one space-joined string.
+
+    Each order is zipped from the one below and the shifted tokens, so the array
+    is not sliced once per element.
+    """
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     if n == 1:
         return tokens
-    last = F.size(tokens) - n + 1
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    rest = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    heads = F.slice(ngrams(tokens, n - 1), F.lit(1), rest)
+    tails = F.slice(tokens, F.lit(n), rest)
+    return F.zip_with(heads, tails, lambda head, tail: F.concat(head, F.lit(" "), tail))
 
 
 def repeated_ngrams(tokens: Column | str, n: int = 2) -> Column:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from bitloom.functions.ngrams import ngrams, tokenize_13a
+from bitloom.functions.ngrams import tokenize_13a
 
 ORDER = 4
 
@@ -30,48 +35,71 @@ def align_hyp_ref(hyp: DataFrame, ref: DataFrame, key: str = "sent_id", strict:
     )
 
 
-def bleu_counts(pairs: DataFrame, by: Sequence[str] = (), key: str = "sent_id") -> DataFrame:
+def _gram_ids(tokens: np.ndarray, n: int, below: np.ndarray | None) -> np.ndarray:
+    """Number the n-grams that start at each position, from those one token shorter."""
+    if n == 1:
+        return tokens
+    pairs = below[: len(tokens) - n + 1] * (tokens.max(initial=0) + 1) + tokens[n - 1 :]
+    return pd.factorize(pairs)[0]
+
+
+def _matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Clipped n-gram matches of each row, for n = 1 to ORDER, on whole columns."""
+    rows = len(hyp)
+    sizes = np.concatenate([pc.list_value_length(side).fill_null(0).to_numpy() for side in (hyp, ref)])
+    tokens = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(2 * rows), sizes)  # hypotheses first, then references
+    found, grams = [], None
+    for n in range(1, ORDER + 1):
+        grams = _gram_ids(tokens, n, grams)
+        whole = text[: len(grams)] == text[n - 1 :]  # the gram does not run into the next text
+        owner, gram = text[: len(grams)][whole], grams[whole]
+        width = grams.max(initial=0) + 1
+        code, key = pd.factorize(owner % rows * width + gram)
+        in_hyp = np.bincount(code[owner < rows], minlength=len(key))
+        in_ref = np.bincount(code[owner >= rows], minlength=len(key))
+        found.append(np.bincount(key // width, weights=np.minimum(in_hyp, in_ref), minlength=rows))
+    flat = np.stack(found, axis=1).astype(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * ORDER, pa.int32()), pa.array(flat))
+
+
+def bleu_counts(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Matched and total n-grams and both lengths, summed per group.
 
-    The pairs are shuffled once by sentence key. Grouping the n-grams by
-    sentence then needs no further shuffle, and no group is larger than one
-    sentence; only ten sums per partition and group travel after that.
+    Both sides of a sentence are in one row, so its n-grams are matched where it
+    lies; nothing but ten sums per task and group is shuffled.
     """
     by = list(by)
-    sentences = pairs.select(key, *by, "hyp", "ref").repartition(key)
-    tokens = sentences.select(
-        key, *by, tokenize_13a("hyp").alias("_h"), tokenize_13a("ref").alias("_r")
+    matches = F.arrow_udf(_matches, ArrayType(LongType()))
+    tokens = pairs.select(
+        *by,
+        tokenize_13a(F.coalesce("hyp", F.lit(""))).alias("_h"),
+        tokenize_13a(F.coalesce("ref", F.lit(""))).alias("_r"),
+    )
+    sizes = tokens.select(
+        *by, matches("_h", "_r").alias("_m"), F.size("_h").alias("_hyp"), F.size("_r").alias("_ref")
     )
 
-    def tagged(col: str, n: int, in_hyp: int) -> Column:
-        marks = [F.lit(n).alias("n"), F.lit(in_hyp).alias("h"), F.lit(1 - in_hyp).alias("r")]
-        return F.transform(ngrams(col, n), lambda g: F.struct(g.alias("gram"), *marks))
+    def total(value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).alias(name)
 
     orders = range(1, ORDER + 1)
-    sides = [tagged("_h", n, 1) for n in orders] + [tagged("_r", n, 0) for n in orders]
-    grams = tokens.select(key, *by, F.inline_outer(F.concat(*sides)))
-    per_gram = grams.groupBy(key, *by, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-
-    def total(condition: Column, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
-
-    n, h, r = F.col("n"), F.col("h"), F.col("r")
-    return per_gram.groupBy(*by).agg(
-        *[total(n == i, F.least(h, r)).alias(f"correct{i}") for i in range(1, ORDER + 1)],
-        *[total(n == i, h).alias(f"total{i}") for i in range(1, ORDER + 1)],
-        total(n == 1, h).alias("hyp_len"),
-        total(n == 1, r).alias("ref_len"),
+    return sizes.groupBy(*by).agg(
+        *[total(F.col("_m")[n - 1], f"correct{n}") for n in orders],
+        *[total(F.greatest(F.col("_hyp") - (n - 1), F.lit(0)), f"total{n}") for n in orders],
+        total(F.col("_hyp"), "hyp_len"),
+        total(F.col("_ref"), "ref_len"),
     )
 
 
-def corpus_bleu(pairs: DataFrame, by: Sequence[str] = (), key: str = "sent_id") -> DataFrame:
+def corpus_bleu(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """BLEU-4 on 13a tokens, case-sensitive, one reference, score 0 to 100.
 
     Smoothing is exponential: the k-th order without a match counts as
     1 / 2**k matches. Orders beyond the longest hypothesis have precision 0.
     """
     by = list(by)
-    sums = bleu_counts(pairs, by, key)
+    sums = bleu_counts(pairs, by)
     precisions = []
     for i in range(1, ORDER + 1):
         correct, total = F.col(f"correct{i}"), F.col(f"total{i}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.plans.ranking import global_rank
+from bitloom.plans.storage import materialize
 
 # The reserved vocabulary entries, ids 0 to 3.
 SPECIALS = ["<pad>", "<sos>", "<eos>", "<unk>"]
@@ -57,6 +58,7 @@ def count_of_counts(counts: DataFrame) -> DataFrame:
             F.coalesce(F.sum("n_types").over(before), F.lit(0)).alias("types_above"),
             F.coalesce(F.sum(mass).over(before), F.lit(0)).alias("tokens_above"),
             F.sum(mass).over(whole).alias("total"),
+            F.sum("n_types").over(whole).alias("types"),
         )
     )
 
@@ -86,10 +88,12 @@ def build_vocab(
 ) -> DataFrame:
     """Vocabulary per language: reserved entries, then tokens by falling frequency.
 
+    The vocabulary is written once, as it is usually read several times.
     ``max_size`` counts the reserved entries. A corpus token that looks like a
     reserved entry is not counted. Frequency ties go by token, or by first
     occurrence with ``tie="first_seen"``.
     """
+    counts = materialize(counts, "counts")  # read twice below; far smaller than the text
     eligible = counts.filter((F.col("freq") >= min_freq) & ~F.col("token").isin(SPECIALS))
     top = None if max_size is None else max(max_size - len(SPECIALS), 0)
     words = ranked_tokens(eligible, tie, top).select(
@@ -98,7 +102,8 @@ def build_vocab(
     reserved = counts.select("lang").distinct().select(
         "lang", F.posexplode(F.array(*[F.lit(s) for s in SPECIALS])).alias("id", "token")
     )
-    return reserved.withColumn("freq", F.lit(0).cast("long")).unionByName(words)
+    entries = reserved.withColumn("freq", F.lit(0).cast("long")).unionByName(words)
+    return materialize(entries, "vocab")
 
 
 def vocab_stats(counts: DataFrame, vocab: DataFrame) -> DataFrame:

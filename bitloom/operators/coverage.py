@@ -22,9 +22,11 @@ def coverage_size(counts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -
     Solved on the table of distinct frequencies: find the first frequency that
     reaches the threshold, then how many of its tokens are needed.
     """
-    steps = count_of_counts(counts).withColumn(
-        "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    )
+    return _coverage_size(count_of_counts(counts), thresholds).select("lang", "threshold", "n_types")
+
+
+def _coverage_size(steps: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    steps = steps.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
     def share(n):
         return (F.col("tokens_above") + n * F.col("freq")).cast("double") / F.col("total")
@@ -41,7 +43,7 @@ def coverage_size(counts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -
         .otherwise(low + 2)
     )
     return reached.select(
-        "lang", "threshold", (F.col("types_above") + need).cast("long").alias("n_types")
+        "lang", "threshold", "types", (F.col("types_above") + need).cast("long").alias("n_types")
     )
 
 
@@ -49,12 +51,10 @@ def coverage_guides(
     counts: DataFrame, thresholds: Sequence[float] = GUIDES, limit: int = CURVE_LIMIT
 ) -> DataFrame:
     """0-based rank at which each guide line meets the curve, if inside the view."""
-    sizes = coverage_size(counts, thresholds)
-    types = counts.groupBy("lang").agg(F.count("*").alias("_types"))
     idx0 = F.col("n_types") - 1
     return (
-        sizes.join(types, "lang")
-        .filter(idx0 < F.least(F.lit(limit), F.col("_types")))
+        _coverage_size(count_of_counts(counts), thresholds)
+        .filter(idx0 < F.least(F.lit(limit), F.col("types")))
         .select("lang", "threshold", idx0.alias("idx0"))
     )
 
@@ -85,11 +85,13 @@ def coverage_curve(counts: DataFrame, limit: int | None = None, tie: str = "toke
     The running count follows from the rank and the table of distinct
     frequencies, so no window runs over the vocabulary.
     """
-    steps = count_of_counts(counts).drop("n_types")
+    ranked = ranked_tokens(counts, tie)
+    steps = count_of_counts(ranked).select("lang", "freq", "types_above", "tokens_above", "total")
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
     cum = F.col("tokens_above") + (F.col("rank") - F.col("types_above")) * F.col("freq")
     return (
-        ranked_tokens(counts, tie, limit)
-        .join(steps, ["lang", "freq"])
+        ranked.join(steps, ["lang", "freq"])
         .select(
             "lang",
             "rank",

@@ -17,7 +17,7 @@ from bitloom.streaming import jobs
 
 PREFIX = "translate Chinese to English: "
 HAN = "一丁七万丈三上下不与专且世丘丙业"
-BPE_SIZE = 400
+BPE_SIZE = 320
 
 
 # ---- inputs ---------------------------------------------------------------
@@ -61,9 +61,9 @@ def side_vocab(spark, sf, min_freq=2, max_size=2000) -> DataFrame:
     return counting.build_vocab(counting.token_counts(side_tokens(spark, sf)), min_freq, max_size)
 
 
-def pair_ids(spark, sf) -> DataFrame:
+def pair_ids(spark, sf, vocab: DataFrame | None = None) -> DataFrame:
     """Encoded pairs with boundaries; nothing is filtered."""
-    vocab = side_vocab(spark, sf)
+    vocab = vocab or side_vocab(spark, sf)
     tokens = pair_tokens(spark, sf)
     numbered = encoding.numericalize(tokens, vocab.filter("lang = 'src'"), "src_tokens", out="src_ids")
     numbered = encoding.numericalize(numbered, vocab.filter("lang = 'tgt'"), "tgt_tokens", out="tgt_ids")
@@ -82,12 +82,13 @@ def hypotheses(spark, sf) -> DataFrame:
     )
 
 
-def word_vectors(spark, sf) -> DataFrame:
+def word_vectors(spark, sf, vocab: DataFrame | None = None) -> DataFrame:
     """The embeddings as vectors of the words ranked first in the English documents."""
     table = load(spark, sf, "embeddings").select(
         (F.col("vec_id") + 4).alias("id"), F.col("vec_id").alias("line_no"), F.col("embedding").alias("vector")
     )
-    return table.join(english_vocab(spark, sf).select("id", "token"), "id").select("line_no", "token", "vector")
+    vocab = vocab or english_vocab(spark, sf)
+    return table.join(vocab.select("id", "token"), "id").select("line_no", "token", "vector")
 
 
 def english_vocab(spark, sf) -> DataFrame:
@@ -322,15 +323,16 @@ def bpe_decode(spark, sf):
 
 
 def lookup_tokens(spark, sf):
-    vocab = side_vocab(spark, sf).filter("lang = 'src'")
-    rows = encoding.lookup_tokens(pair_ids(spark, sf), vocab, "src_ids")
+    vocab = side_vocab(spark, sf)
+    rows = encoding.lookup_tokens(pair_ids(spark, sf, vocab), vocab.filter("lang = 'src'"), "src_ids")
     return rows.select("pair_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def lookup_tokens_joined(spark, sf):
     """The shuffle route for vocabularies beyond the broadcast bound."""
-    vocab = side_vocab(spark, sf).filter("lang = 'src'")
-    rows = encoding.lookup_tokens(pair_ids(spark, sf), vocab, "src_ids", broadcast_entries=10)
+    vocab = side_vocab(spark, sf)
+    ids = pair_ids(spark, sf, vocab)
+    rows = encoding.lookup_tokens(ids, vocab.filter("lang = 'src'"), "src_ids", broadcast_entries=10)
     return rows.select("pair_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -378,12 +380,14 @@ def numericalize_joined(spark, sf):
 
 
 def align_vectors(spark, sf):
-    rows = vectors.align_vectors(english_vocab(spark, sf), word_vectors(spark, sf), 64, seed=1)
+    vocab = english_vocab(spark, sf)
+    rows = vectors.align_vectors(vocab, word_vectors(spark, sf, vocab), 64, seed=1)
     return rows.select("id", "token", "hit", micro("vector").alias("vector"))
 
 
 def vector_hit_stats(spark, sf):
-    rows = vectors.vector_hit_stats(english_vocab(spark, sf), word_vectors(spark, sf), 64)
+    vocab = english_vocab(spark, sf)
+    rows = vectors.vector_hit_stats(vocab, word_vectors(spark, sf, vocab), 64)
     return rows.withColumn("hit_rate", F.round("hit_rate", 6))
 
 
@@ -393,7 +397,7 @@ def align_hyp_ref(spark, sf):
 
 
 def oov_report(spark, sf):
-    counts = counting.token_counts(side_tokens(spark, sf))
+    counts = materialize(counting.token_counts(side_tokens(spark, sf)), "counts")
     rows = counting.oov_report(counts, counting.build_vocab(counts, 2, 2000))
     return rows.withColumn("oov_rate", F.round("oov_rate", 9))
 
@@ -419,7 +423,7 @@ def build_vocab_first_seen(spark, sf):
 
 
 def vocab_stats(spark, sf):
-    counts = doc_counts(spark, sf)
+    counts = materialize(doc_counts(spark, sf), "counts")
     rows = counting.vocab_stats(counts, counting.build_vocab(counts, 5, 25000))
     return rows.withColumn("type_coverage", F.round("type_coverage", 9))
 
@@ -602,7 +606,7 @@ def _pair_folder(spark, sf) -> str:
 
 
 def stream_encode(spark, sf):
-    vocab = materialize(side_vocab(spark, sf), "vocab")
+    vocab = side_vocab(spark, sf)
     sink, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
     stream = jobs.stream_bitext(spark, _pair_folder(spark, sf))
     _run(jobs.stream_encode(stream, vocab.filter("lang = 'src'"), vocab.filter("lang = 'tgt'"), sink, state))
