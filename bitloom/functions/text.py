@@ -21,17 +21,23 @@ def _clean(text: str) -> str:
     return text.strip()
 
 
-@F.pandas_udf(StringType())
-def _clean_udf(texts: pd.Series) -> pd.Series:
+def _clean_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _clean(t) if isinstance(t, str) else "")
 
 
-def normalize_text(col: Column | str) -> Column:
+_clean_udf = F.pandas_udf(_clean_all, StringType())
+_clean_once = F.pandas_udf(_clean_all, StringType()).asNondeterministic()
+
+
+def normalize_text(col: Column | str, once: bool = False) -> Column:
     """NFKC, then drop every non-printable character, then strip; null gives ''.
 
-    Line breaks and tabs are deleted, not turned into spaces.
+    Line breaks and tabs are deleted, not turned into spaces. A later filter on
+    the result makes the optimizer evaluate it a second time below the filter;
+    ``once`` prevents that, but then filters on other columns stay above it too.
     """
-    return _clean_udf(F.col(col) if isinstance(col, str) else col)
+    clean = _clean_once if once else _clean_udf
+    return clean(F.col(col) if isinstance(col, str) else col)
 
 
 def normalize_text_basic(col: Column | str) -> Column:
@@ -45,9 +51,9 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def tokenize_ws(col: Column | str) -> Column:
+def tokenize_ws(col: Column | str, once: bool = False) -> Column:
     """Normalise, lower-case, split on spaces; empty text gives an empty array."""
-    return _words(F.lower(normalize_text(col)))
+    return _words(F.lower(normalize_text(col, once)))
 
 
 def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -14,8 +14,15 @@ def hash_number(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _order(shuffle: bool, seed: int, key: str) -> list[Column]:
-    return [hash_number(seed, key), F.col(key)] if shuffle else [F.col(key)]
+def _ranked_keys(df: DataFrame, shuffle: bool, seed: int, key: str, *extra: str) -> DataFrame:
+    """0-based place of every key in key order or in a seeded random order.
+
+    Only the key (and ``extra``) is read and sorted; the rows themselves are
+    computed and shuffled once, when the places are joined to them.
+    """
+    order = [hash_number(seed, key), F.col(key)] if shuffle else [F.col(key)]
+    ranked = global_rank(df.select(key, *extra), order, name="_rank")
+    return ranked.withColumn("_place", F.col("_rank") - 1).drop("_rank")
 
 
 def make_batches(
@@ -23,16 +30,15 @@ def make_batches(
 ) -> DataFrame:
     """Consecutive groups of ``size`` rows in key order, or in a seeded random order.
 
-    The last batch may be short. The order depends on seed and key only.
+    ``key`` is unique. The last batch may be short; the order depends on seed
+    and key only.
     """
-    ranked = global_rank(df, _order(shuffle, seed, key), name="_rank")
-    place = F.col("_rank") - 1
-    return ranked.withColumns(
-        {
-            "batch_id": F.floor(place / size).cast("long"),
-            "pos_in_batch": (place % size).cast("int"),
-        }
-    ).drop("_rank")
+    places = _ranked_keys(df, shuffle, seed, key).select(
+        key,
+        F.floor(F.col("_place") / size).cast("long").alias("batch_id"),
+        (F.col("_place") % size).cast("int").alias("pos_in_batch"),
+    )
+    return df.join(places, key)
 
 
 def length_bucketed_batches(
@@ -42,20 +48,15 @@ def length_bucketed_batches(
 
     The window below holds ``size * mega`` rows, whatever the size of the data.
     """
-    ranked = global_rank(df, _order(True, seed, key), name="_rank")
-    grouped = ranked.withColumn("_mega", F.floor((F.col("_rank") - 1) / (size * mega)))
+    grouped = _ranked_keys(df, True, seed, key, length).withColumn("_mega", F.floor(F.col("_place") / (size * mega)))
     longest = Window.partitionBy("_mega").orderBy(F.desc(length), F.col(key))
-    place = F.row_number().over(longest) - 1
-    return (
-        grouped.withColumn("_place", place)
-        .withColumns(
-            {
-                "batch_id": (F.col("_mega") * mega + F.floor(F.col("_place") / size)).cast("long"),
-                "pos_in_batch": (F.col("_place") % size).cast("int"),
-            }
-        )
-        .drop("_rank", "_mega", "_place")
+    inside = grouped.withColumn("_inside", F.row_number().over(longest) - 1)
+    places = inside.select(
+        key,
+        (F.col("_mega") * mega + F.floor(F.col("_inside") / size)).cast("long").alias("batch_id"),
+        (F.col("_inside") % size).cast("int").alias("pos_in_batch"),
     )
+    return df.join(places, key)
 
 
 def pad_batch(

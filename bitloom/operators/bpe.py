@@ -52,7 +52,8 @@ def pre_token_counts(lines: DataFrame) -> DataFrame:
     """Frequency of every pre-token; each line counts with its line end."""
     text = F.concat(F.col("line"), F.lit("\n"))
     found = F.regexp_extract_all(text, F.lit(PRE_TOKEN_IN_LINES), F.lit(0))
-    return lines.select(F.explode(found).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("freq"))
+    pre_tokens = lines.select(F.explode_outer(found).alias("pretoken")).filter(F.col("pretoken").isNotNull())
+    return pre_tokens.groupBy("pretoken").agg(F.count("*").alias("freq"))
 
 
 def _spelled(counts: DataFrame, byte_ids: dict[int, int]) -> DataFrame:
@@ -223,6 +224,8 @@ def bpe_encode(
         )
 
     pre_tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PRE_TOKEN), F.lit(0))
+    if mode == "filter":
+        encode = encode.asNondeterministic()  # or the filter below would encode a second time
     encoded = df.withColumn(out, encode(pre_tokens))
     bos, eos = pieces["<s>"], pieces["</s>"]
     if mode == "truncate":

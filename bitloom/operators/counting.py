@@ -24,13 +24,16 @@ def token_counts(
     With ``key`` (the row id that fixes the reading order) the result also has
     ``first_pos``, a number that orders tokens by their first occurrence. It is
     one decimal, not a struct, so the hash aggregation keeps its partial step.
+    The outer explode keeps the optimizer from tokenising twice, once to find
+    rows without tokens.
     """
     if key is None:
-        seen = df.select(F.col(lang).alias("lang"), F.explode(tokens).alias("token"))
+        seen = df.select(F.col(lang).alias("lang"), F.explode_outer(tokens).alias("token"))
+        seen = seen.filter(F.col("token").isNotNull())
         return seen.groupBy("lang", "token").agg(F.count("*").alias("freq"))
     seen = df.select(
-        F.col(lang).alias("lang"), F.col(key).alias("_key"), F.posexplode(tokens).alias("_pos", "token")
-    )
+        F.col(lang).alias("lang"), F.col(key).alias("_key"), F.posexplode_outer(tokens).alias("_pos", "token")
+    ).filter(F.col("token").isNotNull())
     place = F.col("_key").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_pos")
     return seen.groupBy("lang", "token").agg(
         F.count("*").alias("freq"), F.min(place.cast("decimal(32,0)")).alias("first_pos")

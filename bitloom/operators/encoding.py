@@ -53,7 +53,7 @@ def _translate(df: DataFrame, entries: pa.Table, source: str, out_type: str, mis
 def _translate_by_join(df: DataFrame, table: DataFrame, source: str, key: str, missing, out: str) -> DataFrame:
     """The same through a shuffle join, for tables too large to send around."""
     lookup = table.toDF("_item", "_value")
-    items = df.select(key, F.posexplode(source).alias("_pos", "_item"))
+    items = df.select(key, F.posexplode_outer(source).alias("_pos", "_item")).filter(F.col("_pos").isNotNull())
     found = skew_safe_left_join(items, lookup, "_item", [key, "_pos"])
     placed = F.struct("_pos", F.coalesce("_value", F.lit(missing)).alias("_value"))
     rows = found.groupBy(key).agg(F.array_sort(F.collect_list(placed)).alias("_placed"))

@@ -17,9 +17,8 @@ def length_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     It has one row per distinct length and group, and the partial aggregation
     shrinks a group of any size before the shuffle.
     """
-    return df.groupBy(*by, F.col(col).cast("long").alias("len")).agg(F.count("*").alias("n")).filter(
-        F.col("len").isNotNull()
-    )
+    # counting the value drops missing lengths without a filter on the tokens themselves
+    return df.groupBy(*by, F.col(col).cast("long").alias("len")).agg(F.count(col).alias("n")).filter("n > 0")
 
 
 def length_stats(df: DataFrame, col: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.plans.storage import materialize
+
 HOT_KEYS = 10_000
 
 
@@ -17,8 +19,8 @@ def skew_safe_left_join(rows: DataFrame, table: DataFrame, on: str, spread_by: l
     other values.
     """
     payload = [c for c in table.columns if c != on]
-    counts = rows.filter(F.col(on).isNotNull()).groupBy(on).count()
-    total = rows.count()
+    counts = materialize(rows.groupBy(on).count(), "lookup-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
     hot_values = counts.filter(F.col("count") * HOT_KEYS > total).select(on)
     hot = hot_values.join(table, on, "left").select(
         F.col(on), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload]

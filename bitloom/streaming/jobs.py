@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def encode_pairs(
     src_vocab: DataFrame,
     tgt_vocab: DataFrame,
     max_len: int = 128,
-    tokenizer: Callable[[Column], Column] = tokenize_ws,
+    tokenizer: Callable[[Column], Column] = partial(tokenize_ws, once=True),
 ) -> DataFrame:
     """Tokenise, drop long pairs, number the tokens, add boundaries; batch or stream.
 

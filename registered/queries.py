@@ -46,7 +46,11 @@ def split_of(pair_id: Column) -> Column:
 
 def pair_tokens(spark, sf) -> DataFrame:
     return bitext(spark, sf).select(
-        "pair_id", "src", "tgt", tx.tokenize_ws("src").alias("src_tokens"), tx.tokenize_ws("tgt").alias("tgt_tokens")
+        "pair_id",
+        "src",
+        "tgt",
+        tx.tokenize_ws("src", once=True).alias("src_tokens"),
+        tx.tokenize_ws("tgt", once=True).alias("tgt_tokens"),
     )
 
 
