@@ -101,8 +101,7 @@ def train_bpe(
     merge spells a piece that exists already, its pairs gain counts, so the round
     ends with it.
 
-    ``merges_per_round`` skips conflicting pairs instead of stopping and accepts
-    that many: fewer rounds, but an approximation of the sequential result.
+    ``merges_per_round`` limits how many a round takes; it does not change the result.
     """
     spark = lines.sparkSession
     alphabet = sorted(byte_alphabet().values())
@@ -125,9 +124,7 @@ def train_bpe(
             if freq < min_frequency or len(pieces) >= vocab_size or len(accepted) == merges_per_round:
                 break
             if left in used or right in used:
-                if merges_per_round is None:
-                    break
-                continue
+                break
             used.update((left, right))
             joined = pieces[left] + pieces[right]
             known = joined in ids
@@ -136,7 +133,7 @@ def train_bpe(
                 pieces.append(joined)
             merges.append((pieces[left], pieces[right]))
             accepted.append((left, right, ids[joined]))
-            if known and merges_per_round is None:
+            if known:
                 break
         if not accepted:
             break
