@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import count
 
 import numpy as np
@@ -170,17 +171,32 @@ def _rules(model: BpeModel):
 
 
 def _encode_word(word: str, byte_ids: list[int], merges: dict) -> list[int]:
-    """Ids of one pre-token: apply the earliest learned merge, leftmost first."""
-    symbols = [byte_ids[b] for b in word.encode()]
-    while len(symbols) > 1:
-        rank, at, new = min(
-            ((*merges[pair][:1], i, merges[pair][1]) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in merges),
-            default=(None, None, None),
-        )
-        if rank is None:
-            break
-        symbols[at : at + 2] = [new]
-    return symbols
+    """Ids of one pre-token: always apply the earliest learned merge, leftmost first.
+
+    A queue of mergeable places keeps long pre-tokens (text without spaces) from
+    taking quadratic time.
+    """
+    symbols: list[int | None] = [byte_ids[b] for b in word.encode()]
+    after = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    queue = [
+        (merges[pair][0], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in merges
+    ]
+    heapify(queue)
+    while queue:
+        _, i, pair = heappop(queue)
+        j = after[i]
+        if j >= len(symbols) or (symbols[i], symbols[j]) != pair:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j] = merges[pair][1], None
+        after[i] = after[j]
+        if after[i] < len(symbols):
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < len(symbols) and (symbols[left], symbols[right]) in merges:
+                new = (symbols[left], symbols[right])
+                heappush(queue, (merges[new][0], left, new))
+    return [s for s in symbols if s is not None]
 
 
 def bpe_encode(

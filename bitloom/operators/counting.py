@@ -134,7 +134,8 @@ def oov_report(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Works on counts, so a token is shuffled once however often it occurs.
     """
-    total = counts.groupBy("lang").agg(F.sum("freq").alias("_total"))
+    # written, so that the join below is planned by its true size
+    total = materialize(counts.groupBy("lang").agg(F.sum("freq").alias("_total")), "totals")
     return (
         counts.join(vocab.select("lang", "token"), ["lang", "token"], "left_anti")
         .join(total, "lang")

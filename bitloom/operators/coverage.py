@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators.counting import count_of_counts, ranked_tokens
+from bitloom.plans.storage import materialize
 
 # Fixed values of the coverage report.
 THRESHOLDS = [0.90, 0.95, 0.98, 0.99, 0.995]
@@ -86,7 +87,10 @@ def coverage_curve(counts: DataFrame, limit: int | None = None, tie: str = "toke
     frequencies, so no window runs over the vocabulary.
     """
     ranked = ranked_tokens(counts, tie)
-    steps = count_of_counts(ranked).select("lang", "freq", "types_above", "tokens_above", "total")
+    # written, so that the join below is planned by its true size: most types share few frequencies
+    steps = materialize(
+        count_of_counts(ranked).select("lang", "freq", "types_above", "tokens_above", "total"), "steps"
+    )
     if limit is not None:
         ranked = ranked.filter(F.col("rank") <= limit)
     cum = F.col("tokens_above") + (F.col("rank") - F.col("types_above")) * F.col("freq")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators.counting import SPECIALS, UNK
 from bitloom.plans.lookup import skew_safe_left_join
+from bitloom.plans.storage import fits
 
 BROADCAST_ENTRIES = 500_000
 
@@ -19,12 +20,6 @@ def _inside(lists: pa.ListArray, convert) -> pa.ListArray:
     return pa.ListArray.from_arrays(lists.offsets, convert(lists.values), mask=nulls)
 
 
-def _small(table: DataFrame, limit: int) -> pa.Table | None:
-    """The table if it has at most ``limit`` rows; reads no more than one row beyond."""
-    entries = table.limit(limit + 1).toArrow()
-    return entries if entries.num_rows <= limit else None
-
-
 def _translate(df: DataFrame, entries: pa.Table, source: str, out_type: str, missing, out: str) -> DataFrame:
     """Add ``out``: every element of ``source`` replaced through a small table.
 
@@ -84,9 +79,8 @@ def numericalize(
     shuffle with hot tokens kept apart, which needs a unique ``key`` per row.
     """
     table = vocab.select("token", F.col("id").cast("int").alias("id"))
-    small = _small(table, broadcast_entries)
-    if small is not None:
-        return _translate(df, small, tokens_col, "array<int>", unk, out)
+    if fits(table, broadcast_entries):
+        return _translate(df, table.toArrow(), tokens_col, "array<int>", unk, out)
     return _translate_by_join(df, table, tokens_col, key, unk, out)
 
 
@@ -100,7 +94,6 @@ def lookup_tokens(
 ) -> DataFrame:
     """Add ``out``: the tokens of the ids, ``<unk>`` for unknown ids."""
     table = vocab.select(F.col("id").cast("int").alias("id"), "token")
-    small = _small(table, broadcast_entries)
-    if small is not None:
-        return _translate(df, small, ids_col, "array<string>", SPECIALS[UNK], out)
+    if fits(table, broadcast_entries):
+        return _translate(df, table.toArrow(), ids_col, "array<string>", SPECIALS[UNK], out)
     return _translate_by_join(df, table, ids_col, key, SPECIALS[UNK], out)

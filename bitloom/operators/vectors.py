@@ -17,8 +17,9 @@ def _gaussian(seed: int, row: Column, dim: Column) -> Column:
     return F.sqrt(-2 * F.log(radius)) * F.cos(2 * F.pi() * angle)
 
 
-def _usable(vectors: DataFrame, dim: int) -> DataFrame:
-    return vectors.filter(F.size("vector") == dim)
+def _wanted(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """The vectors of vocabulary words; all others are dropped before any shuffle of vectors."""
+    return vectors.filter(F.size("vector") == dim).join(vocab.select("token"), "token", "left_semi")
 
 
 def align_vectors(
@@ -28,11 +29,10 @@ def align_vectors(
 
     A token found in ``vectors`` (``line_no, token, vector``) gets the vector of
     its last line, the padding entry gets zeros, all others get noise
-    N(0, scale) that depends only on seed and id. Vectors of other words are
-    dropped before the shuffle, and repeats shrink in the partial aggregation.
+    N(0, scale) that depends only on seed and id. Repeats of a word shrink in the
+    partial aggregation.
     """
-    wanted = _usable(vectors, dim).join(vocab.select("token"), "token", "left_semi")
-    last = wanted.groupBy("token").agg(F.max_by("vector", "line_no").alias("_found"))
+    last = _wanted(vocab, vectors, dim).groupBy("token").agg(F.max_by("vector", "line_no").alias("_found"))
     noise = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda d: (_gaussian(seed, F.col("id"), d) * scale).cast("double"),
@@ -48,7 +48,7 @@ def vector_hit_stats(vocab: DataFrame, vectors: DataFrame, dim: int, count_repea
 
     With ``count_repeats`` every usable line of a word counts.
     """
-    lines = _usable(vectors, dim).groupBy("token").agg(F.count("*").alias("_lines"))
+    lines = _wanted(vocab, vectors, dim).groupBy("token").agg(F.count("*").alias("_lines"))
     matched = vocab.select("token").join(lines, "token", "left")
     hits = F.sum("_lines") if count_repeats else F.count("_lines")
     return matched.agg(F.count("*").alias("vocab_size"), F.coalesce(hits, F.lit(0)).alias("hits")).select(

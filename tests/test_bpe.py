@@ -62,7 +62,7 @@ def test_training_equals_library(trained):
 
 def test_encoding_equals_library(spark, trained):
     model, (tok, _, _), lines = trained
-    texts = [*corpus(8, 60), *lines, "", " ", "<s> inside </s>", "\n\n a", "x" * 300, "tab\t\tend "]
+    texts = [*corpus(8, 60), *lines, "", " ", "<s> inside </s>", "\n\n a", "x" * 300, "tab\t\tend ", "thethatthis" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
     whole = {r.i: r.ids for r in bpe.bpe_encode(df, model, "t", mode="keep").collect()}
     # a tokenizer loaded from files does not know the reserved pieces as such
