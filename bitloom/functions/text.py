@@ -154,7 +154,7 @@ def tokenize(
 
     ``tokenizers`` maps a language to a function from text column to token
     array; only ``en`` is set by default (Chinese takes a dictionary, see
-    `segment_zh`). With ``unsupported="ws"`` other languages split on spaces,
+    `zh_tokenizer`). A tokenizer sees null for the rows of other languages. With ``unsupported="ws"`` other languages split on spaces,
     otherwise they raise an error.
     """
     text = F.col(col) if isinstance(col, str) else col
@@ -162,7 +162,8 @@ def tokenize(
     chosen = None
     for name, split in (tokenizers or {"en": tokenize_ws}).items():
         hit = lang == F.lit(name)
-        chosen = F.when(hit, split(text)) if chosen is None else chosen.when(hit, split(text))
+        own = split(F.when(hit, text))  # Python functions run on every row, whatever the branch
+        chosen = F.when(hit, own) if chosen is None else chosen.when(hit, own)
     if unsupported == "ws":
         return chosen.otherwise(tokenize_ws(text))
     problem = F.concat(F.lit("Unsupported language: "), F.coalesce(lang, F.lit("null")))

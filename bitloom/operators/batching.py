@@ -14,6 +14,11 @@ def hash_number(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _whole(number: str, size: int) -> Column:
+    """Integer division."""
+    return ((F.col(number) - F.col(number) % size) / size).cast("long")
+
+
 def _ranked_keys(df: DataFrame, shuffle: bool, seed: int, key: str, *extra: str) -> DataFrame:
     """0-based place of every key in key order or in a seeded random order.
 
@@ -35,7 +40,7 @@ def make_batches(
     """
     places = _ranked_keys(df, shuffle, seed, key).select(
         key,
-        F.floor(F.col("_place") / size).cast("long").alias("batch_id"),
+        _whole("_place", size).alias("batch_id"),
         (F.col("_place") % size).cast("int").alias("pos_in_batch"),
     )
     return df.join(places, key)
@@ -48,12 +53,12 @@ def length_bucketed_batches(
 
     The window below holds ``size * mega`` rows, whatever the size of the data.
     """
-    grouped = _ranked_keys(df, True, seed, key, length).withColumn("_mega", F.floor(F.col("_place") / (size * mega)))
+    grouped = _ranked_keys(df, True, seed, key, length).withColumn("_mega", _whole("_place", size * mega))
     longest = Window.partitionBy("_mega").orderBy(F.desc(length), F.col(key))
     inside = grouped.withColumn("_inside", F.row_number().over(longest) - 1)
     places = inside.select(
         key,
-        (F.col("_mega") * mega + F.floor(F.col("_inside") / size)).cast("long").alias("batch_id"),
+        (F.col("_mega") * mega + _whole("_inside", size)).alias("batch_id"),
         (F.col("_inside") % size).cast("int").alias("pos_in_batch"),
     )
     return df.join(places, key)

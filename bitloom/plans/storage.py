@@ -28,8 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/bitloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/bitloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result needs them any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -11,25 +11,38 @@ from bitloom.operators.bpe import MAX_PIECES, BpeModel
 from bitloom.plans.storage import fits
 
 
+# The characters that Python's str.strip removes.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _parsed_lines(lines: DataFrame, src: str, tgt: str) -> DataFrame:
-    """Parse one object per line. The line is wrapped in a list, so that anything
-    after the object makes it invalid instead of being ignored."""
-    line = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    """Parse one object per line.
+
+    The line is wrapped in a list, so that anything after the object makes it
+    invalid instead of being ignored. The outer explode of a one-element array
+    makes Spark parse each line once; filters would otherwise repeat the parsing.
+    """
+
+    def braced(text: Column) -> Column:
+        return text.startswith("{") & text.endswith("}")
+
+    line = F.when(braced(F.col("value")), F.col("value")).otherwise(F.btrim("value", F.lit(WHITESPACE)))
     schema = f"array<struct<`{src}`:string,`{tgt}`:string>>"
     wrapped = F.concat(F.lit("["), F.col("line"), F.lit("]"))
     objects = F.from_json(wrapped, schema, {"allowSingleQuotes": "false"})
+    first = F.get("_o", F.lit(0))
     return (
         lines.select(line.alias("line"))
         .filter(F.col("line") != "")
-        .withColumn("_o", objects)
-        .withColumn(
-            "_ok", F.col("line").startswith("{") & F.col("line").endswith("}") & (F.size("_o") == 1)
-        )
+        .select("line", F.explode_outer(F.array(objects)).alias("_o"))
         .select(
             "line",
-            F.coalesce("_ok", F.lit(False)).alias("_ok"),
-            F.get("_o", F.lit(0))[src].alias("src"),
-            F.get("_o", F.lit(0))[tgt].alias("tgt"),
+            F.coalesce(braced(F.col("line")) & (F.size("_o") == 1), F.lit(False)).alias("_ok"),
+            first[src].alias("src"),
+            first[tgt].alias("tgt"),
         )
     )
 
