@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.plans.ranking import global_rank
+from bitloom.plans.storage import materialize
 
 
 def hash_number(seed: int, *keys: Column | str) -> Column:
@@ -26,7 +27,10 @@ def _ranked_keys(df: DataFrame, shuffle: bool, seed: int, key: str, *extra: str)
     computed and shuffled once, when the places are joined to them.
     """
     order = [hash_number(seed, key), F.col(key)] if shuffle else [F.col(key)]
-    ranked = global_rank(df.select(key, *extra), order, name="_rank")
+    keys = df.select(key, *extra)
+    if extra:  # computed from the rows, and sampled before it is sorted: write it first
+        keys = materialize(keys, "keys")
+    ranked = global_rank(keys, order, name="_rank")
     return ranked.withColumn("_place", F.col("_rank") - 1).drop("_rank")
 
 

@@ -3,8 +3,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+import tokenizers
 
 import __spark_entry__ as entry
+from bitloom.operators.bpe import SPECIALS
+from registered.queries import BPE_SIZE, documents
 from tools.check_queries import TABLES, fingerprint
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,6 +42,31 @@ def test_query_equals_sql(spark, name):
     assert mine[:3] == fingerprint(result.columns, result.fetchall())[:3]
 
 
+def test_registered_bpe_equals_library(spark, tmp_path):
+    merges = entry.queries()["train_bpe"](spark, SMALL).orderBy("rank").collect()
+    lines = [r.line for r in entry.queries()["corpus_lines"](spark, SMALL).collect()]
+    corpus = tmp_path / "corpus.txt"
+    corpus.write_text("".join(line + "\n" for line in lines), encoding="utf-8", newline="")
+    library = tokenizers.ByteLevelBPETokenizer()
+    library.train(
+        files=[str(corpus)], vocab_size=BPE_SIZE, min_frequency=2, show_progress=False, special_tokens=SPECIALS
+    )
+    library.save_model(str(tmp_path))
+    expected = (tmp_path / "merges.txt").read_text(encoding="utf-8").split("\n")[1:]
+    assert [f"{r.left} {r.right}" for r in merges] == [m for m in expected if m]
+    plain = tokenizers.ByteLevelBPETokenizer(str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"))
+    texts = {r.doc_id: r.text for r in documents(spark, SMALL).collect()}
+    for row in entry.queries()["bpe_encode"](spark, SMALL).collect():
+        assert row.ids == ",".join(map(str, [0, *plain.encode(texts[row.doc_id]).ids, 2]))
+
+
+def test_registered_segmentation_keeps_every_character(spark):
+    english = documents(spark, SMALL).filter("lang = 'en'")
+    letters = {r.doc_id: sum(c in "abcdefghijklmnop" for c in r.text.lower()) for r in english.collect()}
+    rows = entry.queries()["segment_zh"](spark, SMALL).collect()
+    assert {r.doc_id: len(r.tokens.replace(" ", "")) for r in rows} == letters
+
+
 def test_rules_of_the_house():
     """No local checkpoints, and no cross joins."""
     for path in (ROOT / "bitloom").rglob("*.py"):
