@@ -9,23 +9,19 @@ size on which to choose a join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, taken from the session's settings."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="bitloom-")
-    context.setCheckpointDir(root)
-    return root
+    """Folder for intermediate tables, taken from the session's settings.
+
+    ``spark.checkpoint.dir`` or the context's checkpoint folder; a session that
+    names neither keeps them in its warehouse, which its executors share too.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate").rstrip("/")
 
 
 def _own_dir(spark: SparkSession) -> str:

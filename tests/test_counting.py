@@ -133,3 +133,12 @@ def test_skew_safe_join_equals_plain_join(spark):
     found = {(r.id, r.k, r.v) for r in skew_safe_left_join(big, table, "k", ["id"]).collect()}
     assert found == {(r.id, r.k, r.v) for r in big.join(table, "k", "left").collect()}
     assert len(found) == len(rows)
+
+
+def test_global_rank_carries_sums_and_null_groups(spark):
+    rows = [("a", 3, 1), ("a", 1, 10), ("a", 2, 100), (None, 1, 5), (None, 2, 7)]
+    df = spark.createDataFrame(rows, "g string, k int, n int").repartition(4)
+    ranked = global_rank(df, [F.col("k")], ["g"], running={"before": "n"}).collect()
+    assert {(r.g, r.k, r["rank"], r.before) for r in ranked} == {
+        ("a", 1, 1, 0), ("a", 2, 2, 10), ("a", 3, 3, 110), (None, 1, 1, 0), (None, 2, 2, 5)
+    }

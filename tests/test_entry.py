@@ -24,8 +24,8 @@ def test_flagship(spark):
 
 
 def test_names():
-    names = set(entry.queries())
-    assert set(entry.oracle_sql()) <= names
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    names = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline", n)}
     assert names - set(entry.oracle_sql()) == {
         "save_bpe", "segment_zh", "bpe_encode", "bpe_encode_truncated", "train_bpe", "stream_requests"
     }

@@ -1,7 +1,5 @@
 import os
 
-import pytest
-
 from bitloom.plans import storage
 
 
@@ -13,23 +11,20 @@ def test_tables_live_in_the_folder_of_the_session(spark):
     assert storage.fits(table, 10) and not storage.fits(table, 9)
 
 
-def test_a_cluster_needs_a_shared_folder():
-    class Elsewhere:
-        master = "spark://somewhere:7077"
-
+def test_without_a_folder_the_warehouse_is_used():
+    class Context:
         def getCheckpointDir(self):
             return None
 
     class Session:
-        sparkContext = Elsewhere()
+        sparkContext = Context()
 
         class conf:
             @staticmethod
-            def get(name, default):
-                return default
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "hdfs:///warehouse/"}.get(name, default)
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        storage.shared_dir(Session())
+    assert storage.shared_dir(Session()) == "hdfs:///warehouse/intermediate"
 
 
 def test_drop_intermediate(spark):
