@@ -41,6 +41,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+def _words(cap: int) -> list[tuple[int, int]]:
+    """Offset and width of the integers that cover ``cap`` bytes; the last ones may overlap."""
+    width = 8 if cap >= 8 else 1
+    return [(k, width) for k in range(0, cap - width, width)] + [(cap - width, width)]
+
+
 class RunIndex:
     """Index of a byte text of less than 2**31 characters."""
 
@@ -71,13 +77,13 @@ class RunIndex:
         self.last_of = ends
         # rows whose suffixes share fewer than ``cap`` characters with the row above start an interval
         above, below = order[:-1], order[1:]
-        same = np.ones(max(0, n - 1), bool)
-        for k in range(cap):
+        far = np.flatnonzero(self.text == SEPARATOR)
+        inside = far[np.searchsorted(far, np.arange(n))] - np.arange(n) >= cap
+        same = inside[above] & inside[below]
+        for k, width in _words(cap):  # eight characters at a time
             open_rows = np.flatnonzero(same)
-            if not len(open_rows):
-                break
-            a, b = self.text[np.minimum(above[open_rows] + k, n)], self.text[np.minimum(below[open_rows] + k, n)]
-            same[open_rows] = (a == b) & (a != SEPARATOR)
+            part = np.ndarray(n, dtype=f"<u{width}", buffer=self.text, offset=k, strides=(1,))
+            same[open_rows] = part[above[open_rows]] == part[below[open_rows]]
         self.interval_starts = np.flatnonzero(np.append(True, ~same))
         self._order = order
 
