@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,14 +21,23 @@ COMMON = (
 SKIPPED = 8  # common words that may stand between the words of a chain
 
 
+def _alternatives(words: Sequence[str]) -> str:
+    """A pattern for any of the words that reads each letter once: words are grouped by their first letter, again and again."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[:1], []).append(word[1:])
+    found = [re.escape(first) + _alternatives(rest) for first, rest in tails.items() if first]
+    return "" if not found else "(?:" + "|".join(found) + ")" + ("?+" if "" in tails else "")
+
+
 def _pattern(common: Sequence[str], chain: int) -> str:
     """A look-ahead at every common word: the word, then ``chain`` content words, common words between them skipped.
 
     Possessive groups keep the match linear and free of recursion.
     """
-    word = "(?:" + "|".join(sorted(common)) + ")"
+    word = _alternatives(common) + r"(?![^\x20\x09-\x0D])"
     skip = rf"(?:{word}[\x20\x09-\x0D]++){{0,{SKIPPED}}}+"
-    content = rf"(?!{word}(?![^\x20\x09-\x0D]))[^\x20\x09-\x0D]++"
+    content = rf"(?!{word})[^\x20\x09-\x0D]++"
     return rf"(?<![^\x20\x09-\x0D])(?=({word}[\x20\x09-\x0D]++" + r"[\x20\x09-\x0D]++".join([skip + content] * chain) + "))"
 
 
@@ -41,7 +51,7 @@ def signatures(text: Column | str, common: Sequence[str] = COMMON, chain: int =
     """
     text = F.col(text) if isinstance(text, str) else text
     low = F.lower(F.coalesce(text, F.lit("")))
-    word = "(?:" + "|".join(sorted(common)) + ")"
+    word = _alternatives(common)
     found = F.regexp_extract_all(low, F.lit(_pattern(common, chain)), 1)
     inner = rf"[\x20\x09-\x0D]+(?:{word}[\x20\x09-\x0D]+)*"
     hashes = F.transform(found, lambda s: F.hash(F.regexp_replace(s, inner, " ")))
@@ -128,16 +138,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = materialize(order.select("id", "next", F.floor(F.col("n") / 3).cast("int").alias("need")), "next-ids")
     own = base.select(F.col("key.id").alias("id"), "text", "n", signatures(F.col("text")).alias("own"))
     needed = order.select(F.col("id").alias("for"), F.col("next").alias("_next"), "need")
-    given = own.join(needed, F.col("id").eqNullSafe(F.col("_next"))).select(
+    given = own.join(needed.hint("merge"), F.col("id").eqNullSafe(F.col("_next"))).select(
         "for", F.struct(F.left("text", F.least("need", "n")).alias("start"), F.col("own").alias("sigs")).alias("given")
     )
-    cut = F.col("n") - F.floor(F.col("n") / 3).cast("int")
-    mine = own.select("id", "n", "own", F.left("text", cut).alias("head"))
+    third = F.floor(F.col("n") / 3).cast("int")
     # one donor per id: equal ids give several, of which the least is taken
     several = docs.groupBy(id_col).count().filter("count > 1").take(1)
     donors = given.groupBy("for").agg(F.min("given").alias("given")) if several else given
-    both = mine.join(donors, F.col("id").eqNullSafe(F.col("for")))
-    edited = F.concat("head", F.left("given.start", F.floor(F.col("n") / 3).cast("int")))
+    both = own.join(donors.hint("merge"), F.col("id").eqNullSafe(F.col("for")))
+    edited = F.concat(F.left("text", F.col("n") - third), F.left("given.start", third))
     return both.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "own", edited.alias("edited"), F.col("given.sigs").alias("next")
     ).withColumn("own_edited", signatures(F.col("edited")))
