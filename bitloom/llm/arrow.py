@@ -19,7 +19,7 @@ def lists_of(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 
 
 def slices(column: pa.ListArray) -> Iterator[np.ndarray]:
-    """The numpy array of each row of a list column without nulls."""
+    """The numpy array of each row of a list column; a null row is empty, its elements are not null."""
     values = column.values.to_numpy(zero_copy_only=False)
     offsets = column.offsets.to_numpy()
     for start, stop in zip(offsets[:-1], offsets[1:], strict=True):

@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.arrow import lists_of
+from bitloom.llm.arrow import lists_of, slices
 
-REMEMBERED = 300_000  # words, pieces and token pairs a worker keeps; a full memory is emptied, results do not change
+REMEMBERED = 400_000  # words, pieces and token pairs a worker keeps; a full memory is emptied, results do not change
+MARKS = ".,;:!?"
+OTHER_SCRIPTS = "\u0250"  # letters before it have been letters in every Unicode version
 LONG_PIECE = 64  # characters beyond which a piece is not remembered
 # fixed value: the published pattern of this family of vocabularies
 LONE_SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,8 +88,9 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.whole.items():
             if self.left[rank] != -2:
-                self.automaton.add_word(token, (len(token), rank))
+                self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
+        self.most = max(self.length)
         self.shorter = [self._prefix(token) for token in self.whole]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known_pieces: dict[str, bytes] = {}
@@ -131,6 +134,17 @@ class Encoder:
                     return True
                 a = self.right[a]
 
+    def _longest(self, piece: str, place: int) -> int:
+        """The longest token that starts at ``place``."""
+        ahead = piece[place : place + self.most]
+        size = self.automaton.longest_prefix(ahead)  # of any path of the automaton, so a token may end earlier
+        get, left = self.whole.get, self.left
+        while True:
+            token = get(ahead[:size])
+            if token is not None and left[token] != -2:
+                return token
+            size -= 1
+
     def _remember(self, pair: tuple[int, int]) -> bool:
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
@@ -142,11 +156,9 @@ class Encoder:
         if piece in self.whole:
             return [self.whole[piece]]
         length, shorter, n = self.length, self.shorter, len(piece)
-        # matches come by their end, so the last one kept for a place is the longest that starts there
-        longest = {end - size: token for end, (size, token) in self.automaton.iter(piece)}
         pairs, left_behind = self.pairs, set()
         out: list[int] = []
-        place, token = 0, longest[-1]
+        place, token = 0, self._longest(piece, 0)
         while True:
             end = place + length[token]
             if end not in left_behind:
@@ -162,7 +174,7 @@ class Encoder:
                     place = end
                     if place == n:
                         return out
-                    token = longest[place - 1]
+                    token = self._longest(piece, place)
                     continue
             token = shorter[token]
             while token < 0:  # nothing fits here: step back
@@ -178,15 +190,30 @@ class Encoder:
         found = list(map(known.get, pieces))
         for i, ids in enumerate(found):
             if ids is None:
-                piece = pieces[i]
-                latin = piece if piece.isascii() else piece.encode().decode("latin-1")
-                found[i] = ids = array("i", self.encode_piece(latin)).tobytes()
-                if len(piece) <= LONG_PIECE:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
+                found[i] = self._piece(pieces[i])
         return b"".join(found)
 
+    def _piece(self, piece: str) -> bytes:
+        known = self.known_pieces
+        ids = known.get(piece)
+        if ids is None:
+            latin = piece if piece.isascii() else piece.encode().decode("latin-1")
+            ids = array("i", self.encode_piece(latin)).tobytes()
+            if len(piece) <= LONG_PIECE:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[piece] = ids
+        return ids
+
+    def _encode_word(self, word: str) -> bytes:
+        """A word after a lone space: letters are one piece, a mark after them another; anything else is cut by the pattern."""
+        if word.isalpha():
+            if max(word) < OTHER_SCRIPTS:
+                return self._piece(" " + word)
+        elif word[-1] in MARKS and word[:-1].isalpha() and max(word) < OTHER_SCRIPTS:
+            return self._piece(" " + word[:-1]) + self._piece(word[-1])
+        return self._encode_pieces(" " + word)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers.
 
@@ -201,7 +228,7 @@ class Encoder:
         for i, ids in enumerate(found):
             if ids is None:
                 word = words[i]
-                found[i] = ids = self._encode_pieces(" " + word)
+                found[i] = ids = self._encode_word(word)
                 if len(word) <= LONG_PIECE:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -209,9 +236,6 @@ class Encoder:
         return self._encode_pieces(first) + b"".join(found)
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 class ByteBpe:
     """Encoding and decoding columns for one vocabulary file.
 
@@ -222,18 +246,20 @@ class ByteBpe:
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.key = (path, pattern)
-        self.shared = spark.sparkContext.broadcast(merge_table(path))
+        tokens, left, right = merge_table(path)
+        # a worker adds its encoder to its own copy, so that later tasks find it with all it remembers
+        self.shared = spark.sparkContext.broadcast({"tokens": tokens, "left": left, "right": right, "pattern": pattern})
 
     def encode(self, text: Column | str) -> Column:
         """``array<int>``: the token ids of a text."""
-        shared, key = self.shared, self.key
+        shared = self.shared
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            encoder = _encoders.get(key)
-            if encoder is None:
-                encoder = _encoders[key] = Encoder(*shared.value, key[1])
+            known = shared.value
+            if "encoder" not in known:
+                known["encoder"] = Encoder(known["tokens"], known["left"], known["right"], known["pattern"])
+            encoder = known["encoder"]
             found = [encoder.encode(text or "") for text in texts.to_pylist()]
             return lists_of(np.frombuffer(b"".join(found), np.int32), np.array([len(ids) // 4 for ids in found], np.int64))
 
@@ -245,7 +271,7 @@ class ByteBpe:
 
         @F.arrow_udf("binary")
         def decode(lists: pa.Array) -> pa.Array:
-            table = shared.value[0]
-            return pa.array([b"".join([table[i] for i in row or ()]) for row in lists.to_pylist()], pa.binary())
+            token = shared.value["tokens"].__getitem__
+            return pa.array([b"".join(map(token, row.tolist())) for row in slices(lists)], pa.binary())
 
         return decode(F.col(ids) if isinstance(ids, str) else ids)

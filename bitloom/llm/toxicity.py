@@ -121,7 +121,7 @@ def train(
     picked = spark.createDataFrame(chosen[["id", "y"]])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("id")), "id")
     shared = spark.sparkContext.broadcast(letters)
-    found = texts.mapInArrow(_feature_rows(shared), "id long, feature string").distinct()
+    found = texts.mapInArrow(_feature_rows(shared), "id long, feature string")
     by_class = found.join(F.broadcast(picked), "id").groupBy("feature").agg(
         F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")
     )
@@ -135,10 +135,10 @@ def train(
     held = found.join(F.broadcast(wanted), "feature").toPandas()
     rows: dict[int, list[int]] = {key: [] for key in chosen["id"].tolist()}
     for key, name in zip(held["id"].tolist(), held["feature"].tolist(), strict=True):
-        rows[key].append(place[name])
+        rows[key].append(place[name])  # a repeated row names it again
     y = chosen["y"].to_numpy(np.float64)
     weight = np.where(y == 1, toxic / n_toxic, clean / n_clean)
-    w, bias = _logistic([np.array(sorted(rows[key]), np.int64) for key in chosen["id"].tolist()], y, weight, len(names))
+    w, bias = _logistic([np.array(sorted(set(rows[key])), np.int64) for key in chosen["id"].tolist()], y, weight, len(names))
     return ToxicityModel(letters, dict(zip(names, w.tolist(), strict=True)), bias)
 
 
