@@ -24,7 +24,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "¡": "i", "£": "l", "*": "aeiou",
 }
 SIGNS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
-SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_])")
+SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_]|[.\-_*·][^\W\d_])")
 REPEATED = re.compile(r"([^\W\d_])\1\1+")
 # log10 costs of the channel
 COST_SIGN, COST_REPEAT, COST_DOUBLE = -0.7, -0.4, -1.5
