@@ -31,6 +31,9 @@ def _ranked_keys(df: DataFrame, shuffle: bool, seed: int, key: str, *extra: str)
     if extra:  # computed from the rows, and sampled before it is sorted: write it first
         keys = materialize(keys, "keys")
     ranked = global_rank(keys, order, name="_rank")
+    twice = ranked.groupBy(key).count().filter("count > 1").take(1)
+    if twice:
+        raise ValueError(f"{key} is not unique: {twice[0][0]} occurs {twice[0][1]} times")
     return ranked.withColumn("_place", F.col("_rank") - 1).drop("_rank")
 
 
@@ -39,7 +42,7 @@ def make_batches(
 ) -> DataFrame:
     """Consecutive groups of ``size`` rows in key order, or in a seeded random order.
 
-    ``key`` is unique. The last batch may be short; the order depends on seed
+    A repeated ``key`` raises, as its rows could not be placed. The last batch may be short; the order depends on seed
     and key only.
     """
     places = _ranked_keys(df, shuffle, seed, key).select(

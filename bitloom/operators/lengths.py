@@ -47,7 +47,8 @@ def _with_range(lengths: DataFrame, by: Sequence[str]) -> DataFrame:
     """Attach min, max, size and moments of each group to its distinct lengths."""
     total = F.sum("n")
     mass = F.sum(F.col("len") * F.col("n"))
-    square = F.sum(F.col("len") * F.col("len") * F.col("n"))
+    long_len = F.col("len").cast("decimal(10,0)")
+    square = F.sum(long_len * long_len * F.col("n").cast("decimal(18,0)"))  # exact beyond the range of a long
     keys = list(by)
     if not keys:
         keys = ["_all"]
@@ -97,7 +98,9 @@ def length_kde(df: DataFrame, col: str, grid: int = 200, by: Sequence[str] = ())
     """Gaussian density curve on ``grid`` points from min to max, Scott's bandwidth."""
     lengths = _with_range(length_counts(df, col, by), by)
     n = F.col("_n").cast("double")
-    deviation = F.sqrt((F.col("_square") - F.col("_sum") * F.col("_sum") / n) / (n - 1))
+    total = F.col("_sum").cast("decimal(19,0)")
+    scatter = F.col("_square") - total * total / F.col("_n").cast("decimal(19,0)")
+    deviation = F.sqrt(scatter.cast("double") / (n - 1))
     width = F.pow(n, F.lit(-0.2)) * deviation
     cells = lengths.filter("_n > 1 AND _max > _min").select(
         *by,

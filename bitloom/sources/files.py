@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators.bpe import MAX_PIECES, BpeModel
-from bitloom.plans.storage import fits
+from bitloom.plans.storage import fits, materialize
 
 
 # The characters that Python's str.strip removes.
@@ -62,7 +62,9 @@ def read_bitext_jsonl(
 ) -> DataFrame:
     """Pairs of a JSON-lines file; blank and invalid lines are skipped, a missing file raises.
 
-    ``pair_id`` grows with the position in the file.
+    ``pair_id`` is unique in this table. It follows from how Spark cuts the
+    files, so write the rows once (`plans.storage.materialize`) before two
+    plans use the same ids, as `read_splits` does.
     """
     rows = bitext_from_lines(spark.read.text(path), src, tgt, require_both)
     return rows.select(F.monotonically_increasing_id().alias("pair_id"), "src", "tgt")
@@ -76,14 +78,19 @@ def read_rejects(
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
-    """Several files as one table with a ``split`` column."""
+    """Several files as one table with a ``split`` column; ``pair_id`` is unique over all splits.
+
+    The rows are numbered once and written with their numbers, so that every
+    later plan sees the same ids.
+    """
     tables = [
-        read_bitext_jsonl(spark, path, **options).withColumn("split", F.lit(name)) for name, path in paths.items()
+        read_bitext_jsonl(spark, path, **options).drop("pair_id").withColumn("split", F.lit(name))
+        for name, path in paths.items()
     ]
     result = tables[0]
     for table in tables[1:]:
         result = result.unionByName(table)
-    return result
+    return materialize(result.select(F.monotonically_increasing_id().alias("pair_id"), "src", "tgt", "split"), "splits")
 
 
 def write_bitext_jsonl(df: DataFrame, path: str, src: str = "zh", tgt: str = "en") -> None:
@@ -136,8 +143,8 @@ def import_vocab_json(spark: SparkSession, path: str) -> DataFrame:
 def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """``line_no, token, vector`` from a text file of word vectors.
 
-    Lines without exactly ``dim`` numbers (such as a header) are skipped, and
-    undecodable bytes are ignored.
+    Lines without exactly ``dim`` numbers (such as a header, or a line with
+    something else among them) are skipped, and undecodable bytes are ignored.
     """
     valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
@@ -147,7 +154,10 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
         spark.read.text(path)
         .select(F.monotonically_increasing_id().alias("line_no"), parts.alias("p"))
         .filter(F.size("p") == dim + 1)
-        .select("line_no", F.col("p")[0].alias("token"), F.slice("p", 2, dim).cast("array<float>").alias("vector"))
+        .select(
+            "line_no", F.col("p")[0].alias("token"), F.transform(F.slice("p", 2, dim), lambda x: x.try_cast("float")).alias("vector")
+        )
+        .filter(F.forall("vector", lambda x: x.isNotNull()))
     )
 
 
@@ -176,11 +186,12 @@ def import_bpe(spark: SparkSession, vocab_json: str, merges_txt: str) -> BpeMode
         .select(F.explode(F.from_json("value", "map<string,int>")).alias("piece", "id"))
         .select("id", "piece")
     )
-    parts = F.split("value", " ")
+    lines = F.filter(F.split("value", "\n"), lambda line: (line != "") & ~line.startswith("#version"))
+    parts = F.split("line", " ")
     merges = (
-        spark.read.text(merges_txt)
-        .filter(~F.col("value").startswith("#version") & (F.col("value") != ""))
-        .select(F.monotonically_increasing_id().cast("int").alias("rank"), parts[0].alias("left"), parts[1].alias("right"))
+        spark.read.text(merges_txt, wholetext=True)
+        .select(F.posexplode(lines).alias("rank", "line"))
+        .select("rank", parts[0].alias("left"), parts[1].alias("right"))
     )
     return BpeModel(vocab, merges)
 

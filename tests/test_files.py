@@ -3,6 +3,7 @@ import json
 import pytest
 
 from bitloom.operators import counting, metrics
+from bitloom.operators import batching
 from bitloom.sources import files
 
 LINES = [
@@ -84,3 +85,27 @@ def test_metrics_files(spark, tmp_path):
     log.write_text("starting\n{'loss': 3.5, 'epoch': 0.1}\nnoise {x}\n{'eval_bleu': 11.2, 'epoch': 1.0}\n")
     records = [r.record for r in metrics.read_metric_log(spark, str(log)).collect()]
     assert records == [{"loss": 3.5, "epoch": 0.1}, {"eval_bleu": 11.2, "epoch": 1.0}]
+
+
+def test_split_ids_are_unique_and_stay(spark, tmp_path):
+    paths = {}
+    for name in ("train", "test"):
+        paths[name] = str(tmp_path / name)
+        files.write_bitext_jsonl(spark.range(500).selectExpr(f"'{name}' || id AS src", "'x' AS tgt").repartition(4), paths[name])
+    pairs = files.read_splits(spark, paths)
+    before = {(r.src, r.pair_id) for r in pairs.collect()}
+    assert len({key for _, key in before}) == 1000
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert {(r.src, r.pair_id) for r in pairs.collect()} == before
+        assert batching.make_batches(pairs, 16).count() == 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    with pytest.raises(ValueError, match="not unique"):
+        batching.make_batches(pairs.unionByName(pairs), 16)
+
+
+def test_vectors_with_a_broken_number_are_skipped(spark, tmp_path):
+    (tmp_path / "v.vec").write_text("2 2\na 1 2\nb 1 x\nc 3 4\n", encoding="utf-8")
+    assert {r.token for r in files.read_word_vectors(spark, str(tmp_path / "v.vec"), 2).collect()} == {"a", "c"}

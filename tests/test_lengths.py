@@ -73,3 +73,14 @@ def test_filters(spark):
 def test_drop_blank_sources(spark):
     df = spark.createDataFrame([("a",), (" ",), ("",), (None,), ("　\n",), (" b",)], "src string")
     assert [r.src for r in lengths.drop_blank_sources(df).collect()] == ["a", " b"]
+
+
+def test_kde_beyond_the_range_of_a_long(spark):
+    rows = spark.createDataFrame([(50_000, 80_000_000), (49_999, 80_000_000)], "len int, n long")
+    # 8 * 10**12 tokens; length_counts is replaced by the counts themselves
+    ranged = lengths._with_range(rows, [])
+    first = ranged.first()
+    assert first["_sum"] == 7_999_920_000_000 and int(first["_square"]) == 80_000_000 * (50_000**2 + 49_999**2)
+    few = spark.createDataFrame([(50_000,)] * 60_000 + [(70_000,)] * 60_000, "len int")
+    points = lengths.length_kde(few, "len", 5).orderBy("point").collect()
+    assert len(points) == 5 and all(p.density > 0 for p in points)
