@@ -97,4 +97,53 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 ALL = [op1_url_trust, op2_bin_packing, op3_embedding_dedup, op4_deobfuscated_toxicity, op5_simhash, op6_interpolated_lm, op7_mix, op8_run_index, op9_spotsigs, op10_byte_bpe]
 QUERIES = {query.__name__: query for query in ALL}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT links.u, reach.other FROM reach JOIN links ON reach.node = links.v
+), component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c ON c.node = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+""",
+    "op7_mix": r"""
+WITH d AS (
+    SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), weighted AS (
+    SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s
+), sorted AS (
+    SELECT *, 2.0::DOUBLE * source_size AS cap,
+        coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0) AS capped,
+        sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_weight, sum(source_size) OVER () AS total
+    FROM weighted
+    WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), water AS (
+    SELECT max((1.5::DOUBLE * total - capped) / open_weight) AS level FROM sorted
+    WHERE (1.5::DOUBLE * total - capped) / open_weight < cap / w
+), goal AS (
+    SELECT source, source_size, least(cap, w * level)::DOUBLE AS target FROM sorted, water
+), line AS (
+    SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM d
+), placed AS (
+    SELECT line.doc_id, line.size, line.pos, goal.source_size, goal.target, floor(goal.target)::BIGINT AS words
+    FROM line JOIN goal ON line.source IS NOT DISTINCT FROM goal.source
+)
+SELECT doc_id, size, source_size, target,
+    CASE WHEN source_size = 0 THEN 0 ELSE
+        (words // source_size) * size + greatest(0, least(size, words % source_size - pos)) END::BIGINT AS taken
+FROM placed
+""",
+}
