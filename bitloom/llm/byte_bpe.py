@@ -82,13 +82,13 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.by_words = pattern == LONE_SPACE_PATTERN
         self.whole = {token.decode("latin-1"): rank for rank, token in enumerate(tokens)}
+        self.made = {token: rank for token, rank in self.whole.items() if left[rank] != -2}  # by merging
         self.length = [len(token) for token in tokens]
         self.left, self.right = left.tolist(), right.tolist()
         self.merged = {(a, b): t for t, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if a >= 0}
         self.automaton = ahocorasick.Automaton()
-        for token, rank in self.whole.items():
-            if self.left[rank] != -2:
-                self.automaton.add_word(token, rank)
+        for token, rank in self.made.items():
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
         self.most = max(self.length)
         self.shorter = [self._prefix(token) for token in self.whole]
@@ -99,8 +99,8 @@ class Encoder:
     def _prefix(self, token: str) -> int:
         """The longest token that merging makes and that starts ``token``, -1 if there is none."""
         for end in range(len(token) - 1, 0, -1):
-            rank = self.whole.get(token[:end], -1)
-            if rank >= 0 and self.left[rank] != -2:
+            rank = self.made.get(token[:end], -1)
+            if rank >= 0:
                 return rank
         return -1
 
@@ -134,17 +134,6 @@ class Encoder:
                     return True
                 a = self.right[a]
 
-    def _longest(self, piece: str, place: int) -> int:
-        """The longest token that starts at ``place``."""
-        ahead = piece[place : place + self.most]
-        size = self.automaton.longest_prefix(ahead)  # of any path of the automaton, so a token may end earlier
-        get, left = self.whole.get, self.left
-        while True:
-            token = get(ahead[:size])
-            if token is not None and left[token] != -2:
-                return token
-            size -= 1
-
     def _remember(self, pair: tuple[int, int]) -> bool:
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
@@ -156,25 +145,28 @@ class Encoder:
         if piece in self.whole:
             return [self.whole[piece]]
         length, shorter, n = self.length, self.shorter, len(piece)
+        made, reach, most = self.made.get, self.automaton.longest_prefix, self.most
         pairs, left_behind = self.pairs, set()
         out: list[int] = []
-        place, token = 0, self._longest(piece, 0)
+        place, last, token = 0, -1, None
         while True:
+            if token is None:  # the longest token that starts here; paths of the automaton may run past its end
+                ahead = piece[place : place + most]
+                size = reach(ahead)
+                token = made(ahead[:size])
+                while token is None:
+                    size -= 1
+                    token = made(ahead[:size])
             end = place + length[token]
             if end not in left_behind:
-                if out:
-                    pair = (out[-1], token)
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = self._remember(pair)
-                else:
-                    fits = True
+                fits = last < 0 or pairs.get((last, token))
+                if fits is None:
+                    fits = self._remember((last, token))
                 if fits:
                     out.append(token)
-                    place = end
-                    if place == n:
+                    if end == n:
                         return out
-                    token = self._longest(piece, place)
+                    place, last, token = end, token, None
                     continue
             token = shorter[token]
             while token < 0:  # nothing fits here: step back
@@ -182,6 +174,7 @@ class Encoder:
                 token = out.pop()
                 place -= length[token]
                 token = shorter[token]
+                last = out[-1] if out else -1
 
     def _encode_pieces(self, text: str) -> bytes:
         """The ids of all pieces of ``text`` as 32-bit integers."""
