@@ -19,26 +19,42 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):  # seven characters of nine bits
         key = (key << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    sorted_key = key[order]
+    new = np.append(True, sorted_key[1:] != sorted_key[:-1])[:n]
+    # a suffix is ranked by the first place of those it is tied with, so only tied ones are ever sorted again
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at = np.flatnonzero(~(new & np.append(new[1:], True)[:n]))
     width = 7
-    while True:
-        sorted_key = key[order]
-        new = np.empty(n, bool)
-        new[:1] = True
-        np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        tied = ~(new & np.append(new[1:], True))
-        if not tied.any():
-            return order
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - width)] = rank[width:]
-        key = (rank << np.uint64(32)) | after
-        # only suffixes that are still tied are sorted again, inside their places
-        at = np.flatnonzero(tied)
+    while len(at):
         again = order[at]
-        order[at] = again[np.argsort(key[again], kind="stable")]
+        follows = again + width
+        key = (rank[again] << 32) | np.where(follows < n, rank[np.minimum(follows, n - 1)] + 1, 0)
+        sort = np.argsort(key)
+        again, key = again[sort], key[sort]
+        order[at] = again
+        new = np.append(True, key[1:] != key[:-1])
+        rank[again] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        at = at[~(new & np.append(new[1:], True))]
         width *= 2
+    return order
+
+
+class _Marks:
+    """Which of ``n`` rows start a stretch, as bits with counts, so that a row finds its stretch in one step."""
+
+    def __init__(self, starts: np.ndarray, n: int):
+        flags = np.zeros(-(-n // 64) * 64, bool)
+        flags[starts] = True
+        self.bits = np.packbits(flags, bitorder="little").view("<u8")
+        per_word = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = np.cumsum(per_word) - per_word
+
+    def stretch_of(self, rows: np.ndarray) -> np.ndarray:
+        word = rows >> 6
+        up_to = self.bits[word] << (63 - (rows & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(up_to) - 1
 
 
 def _words(cap: int) -> list[tuple[int, int]]:
@@ -52,7 +68,8 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, cap: int):
         n = len(text)
-        self.text = np.concatenate([text, np.full(cap + 1, SEPARATOR, np.uint8)])
+        self.text = np.concatenate([text, np.full(cap + 8, SEPARATOR, np.uint8)])
+        self.eight = np.ndarray(len(self.text) - 7, dtype="<u8", buffer=self.text, strides=(1,))  # at any place
         self.cap, self.n = cap, n
         order = suffix_array(text)
         bwt = text[order - 1]  # the character before the first is the last: it is a separator
@@ -74,6 +91,8 @@ class RunIndex:
         chars = self.heads[self.by_char]
         self.goes[self.by_char] = smaller[chars] + within - base[chars]
         self.char_run_key = chars * len(starts) + self.by_char  # rising; a run's number orders it by place
+        self.char_from = np.searchsorted(chars, np.arange(257))
+        self.run_marks = _Marks(starts, n)
         self.last_of = ends
         # rows whose suffixes share fewer than ``cap`` characters with the row above start an interval
         above, below = order[:-1], order[1:]
@@ -85,6 +104,7 @@ class RunIndex:
             part = np.ndarray(n, dtype=f"<u{width}", buffer=self.text, offset=k, strides=(1,))
             same[open_rows] = part[above[open_rows]] == part[below[open_rows]]
         self.interval_starts = np.flatnonzero(np.append(True, ~same))
+        self.interval_marks = _Marks(self.interval_starts, n)
         self._order = order
 
     def minima(self, value_of_position: np.ndarray) -> np.ndarray:
@@ -92,23 +112,23 @@ class RunIndex:
         return np.minimum.reduceat(value_of_position[self._order], self.interval_starts)
 
     def interval_of(self, rows: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.interval_starts, rows, side="right") - 1
+        return self.interval_marks.stretch_of(rows)
 
     def drop_construction(self) -> None:
         """Forget the suffix array; what stays is proportional to the runs and intervals."""
         self._order = None
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the text at ``a`` and ``b``, up to ``most``."""
-        out = np.zeros(len(a), np.int64)
+        """Length of the common prefix of the text at ``a`` and ``b``, up to ``most``; no separator lies within ``most`` of ``b``."""
+        out = most.copy()
         alive = np.flatnonzero(most > 0)
-        for k in range(self.cap):
+        for k in range(0, self.cap, 8):  # eight characters at a time
             if not len(alive):
                 break
-            x, y = self.text[np.minimum(a[alive] + k, self.n)], self.text[np.minimum(b[alive] + k, self.n)]
-            alive = alive[(x == y) & (x != SEPARATOR)]
-            out[alive] += 1
-            alive = alive[out[alive] < most[alive]]
+            differ = self.eight[a[alive] + k] ^ self.eight[b[alive] + k]
+            alike = np.bitwise_count((differ & -differ) - np.uint64(1)).astype(np.int64) >> 3
+            out[alive] = np.minimum(out[alive], k + alike + np.where(alike == 8, self.cap, 0))
+            alive = alive[(alike == 8) & (most[alive] > k + 8)]
         return out
 
     def matching_statistics(self, queries: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,21 +143,22 @@ class RunIndex:
         sizes = np.diff(offsets)
         order = np.argsort(-sizes, kind="stable")
         sizes, ends = sizes[order], offsets[1:][order]
+        shorter_last = -sizes
         row = np.zeros(len(order), np.int64)
         place = np.full(len(order), self.first_row_sample, np.int64)
         length = np.zeros(len(order), np.int64)
         runs = len(self.starts)
         for step in range(int(sizes[0]) if len(sizes) else 0):
-            m = np.searchsorted(-sizes, -step, side="left")  # queries longer than ``step``
+            m = np.searchsorted(shorter_last, -step, side="left")  # queries longer than ``step``
             at = ends[:m] - 1 - step
             char = queries[at].astype(np.int64)
-            run = np.searchsorted(self.starts, row[:m], side="right") - 1
+            run = self.run_marks.stretch_of(row[:m])
             miss = np.flatnonzero(self.heads[run] != char)
             if len(miss):
                 c = char[miss]
                 key = c * runs + run[miss]
                 after = np.searchsorted(self.char_run_key, key)
-                low, high = np.searchsorted(self.char_run_key, c * runs), np.searchsorted(self.char_run_key, (c + 1) * runs)
+                low, high = self.char_from[c], self.char_from[c + 1]
                 has_up, has_down = after > low, after < high
                 up = self.by_char[np.maximum(after - 1, 0)]
                 down = self.by_char[np.minimum(after, runs - 1)]
