@@ -37,7 +37,10 @@ def normalize_text(col: Column | str, once: bool = False) -> Column:
     ``once`` prevents that, but then filters on other columns stay above it too.
     """
     clean = _clean_once if once else _clean_udf
-    return clean(F.col(col) if isinstance(col, str) else col)
+    text = F.col(col) if isinstance(col, str) else col
+    # printable ASCII only needs its spaces cut, and does not travel to Python
+    other = F.rlike(text, F.lit("[^ -~]"))
+    return F.when(other, clean(F.when(other, text))).otherwise(F.coalesce(F.trim(text), F.lit("")))
 
 
 def normalize_text_basic(col: Column | str) -> Column:

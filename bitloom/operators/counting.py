@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +74,28 @@ def _tie_order(tie: str):
     return F.col("token" if tie == "token" else "first_pos").asc()
 
 
-def ranked_tokens(counts: DataFrame, tie: str = "token", top: int | None = None) -> DataFrame:
+def _frequent(counts: DataFrame, top: int) -> DataFrame:
+    """The tokens whose frequency reaches the first ``top`` ranks of their language, ties at the last one included."""
+    reached = count_of_counts(counts).filter(F.col("types_above") < top)
+    # one row per language; written, so that the join is planned by its size
+    least = materialize(reached.groupBy(F.col("lang").alias("_of")).agg(F.min("freq").alias("_least")), "cuts")
+    same = F.col("lang").eqNullSafe(F.col("_of")) & (F.col("freq") >= F.col("_least"))
+    return counts.join(least, same).select(*counts.columns)
+
+
+def ranked_tokens(
+    counts: DataFrame, tie: str = "token", top: int | None = None, running: Mapping[str, str] | None = None
+) -> DataFrame:
     """Add the 1-based ``rank`` by frequency per language; ``top`` keeps the first ranks.
 
-    Up to 1,000 ranks, the window is cut inside each partition before the
-    shuffle. Beyond that, all rows are ranked by range partitioning.
+    With ``top`` only the tokens that can have such a rank are sorted: the table
+    of distinct frequencies tells where to cut. ``counts`` is then read twice, so
+    give it as a written table. ``running`` is that of `global_rank`.
     """
     order = [F.desc("freq"), _tie_order(tie)]
-    if top is not None and top <= 1000:
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-        return counts.withColumn("rank", place.cast("long")).filter(F.col("rank") <= top)
-    ranked = global_rank(counts, order, by=["lang"])
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    if top is None:
+        return global_rank(counts, order, by=["lang"], running=running)
+    return global_rank(_frequent(counts, top), order, by=["lang"], running=running).filter(F.col("rank") <= top)
 
 
 def build_vocab(
@@ -126,7 +138,7 @@ def vocab_stats(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def top_tokens(counts: DataFrame, k: int = 20, tie: str = "token") -> DataFrame:
     """The ``k`` most frequent tokens per language."""
-    return ranked_tokens(counts, tie, k).select("lang", "rank", "token", "freq")
+    return ranked_tokens(materialize(counts, "counts"), tie, k).select("lang", "rank", "token", "freq")
 
 
 def oov_report(counts: DataFrame, vocab: DataFrame) -> DataFrame:

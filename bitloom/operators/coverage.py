@@ -83,19 +83,16 @@ def min_freq_sweep(counts: DataFrame, freqs: Sequence[int] = MIN_FREQS) -> DataF
 def coverage_curve(counts: DataFrame, limit: int | None = None, tie: str = "token") -> DataFrame:
     """Running count and share by rank. ``limit`` is the width of the plotted view.
 
-    The running count follows from the rank and the table of distinct
-    frequencies, so no window runs over the vocabulary.
+    The ranking carries the running count, and a view ranks only the tokens it
+    shows.
     """
-    ranked = ranked_tokens(counts, tie)
-    # written, so that the join below is planned by its true size: most types share few frequencies
-    steps = materialize(
-        count_of_counts(ranked).select("lang", "freq", "types_above", "tokens_above", "total"), "steps"
-    )
-    if limit is not None:
-        ranked = ranked.filter(F.col("rank") <= limit)
-    cum = F.col("tokens_above") + (F.col("rank") - F.col("types_above")) * F.col("freq")
+    counts = materialize(counts, "counts")
+    # one row per language; written, so that the join below is planned by its size
+    totals = materialize(counts.groupBy(F.col("lang").alias("_of")).agg(F.sum("freq").alias("total")), "totals")
+    ranked = ranked_tokens(counts, tie, limit, running={"_before": "freq"})
+    cum = F.col("_before") + F.col("freq")
     return (
-        ranked.join(steps, ["lang", "freq"])
+        ranked.join(totals, F.col("lang").eqNullSafe(F.col("_of")))
         .select(
             "lang",
             "rank",

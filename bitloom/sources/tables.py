@@ -19,7 +19,8 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def bitext_from_turns(turns: DataFrame) -> DataFrame:
     """Pairs of a user turn and the assistant turn that follows it."""
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id")
+    # a turn has 32 bits to itself; larger conversation numbers than fit beside it raise
+    key = (F.col("conv_id").cast("long") * F.lit(1 << 32) + F.col("turn")).alias("pair_id")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", key, F.col("text").alias("src"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt")

@@ -71,7 +71,7 @@ def t13a(text: str) -> str:
 
 
 def split_of(pair_id: str) -> str:
-    digit = f"(({pair_id} // 1000) % 10)"
+    digit = f"(({pair_id} >> 32) % 10)"
     return f"CASE {digit} WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
 
 
@@ -97,7 +97,7 @@ lens AS (SELECT lang, CAST(len(tokens) AS BIGINT) AS len FROM toks)
 """
 
 PAIRS = f"""WITH pairs AS (
-    SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS src, a.text AS tgt
+    SELECT CAST(u.conv_id AS BIGINT) * 4294967296 + u.turn AS pair_id, u.text AS src, a.text AS tgt
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant'),
 ptoks AS (SELECT pair_id, {ws('src')} AS src_tokens, {ws('tgt')} AS tgt_tokens FROM pairs),
