@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +54,15 @@ def _feature_rows(shared) -> callable:
     return rows
 
 
-def _informative(counts: pd.DataFrame, toxic: int, clean: int, most: int) -> list[str]:
-    """Features with the largest log-likelihood ratio that are commoner in toxic texts."""
-    a, b = counts["toxic"].to_numpy(np.float64), counts["clean"].to_numpy(np.float64)
-    part = lambda x, n, p: x * np.log(np.maximum(p, 1e-12)) + (n - x) * np.log(np.maximum(1 - p, 1e-12))
-    pa_, pb, p = a / toxic, b / clean, (a + b) / (toxic + clean)
-    ratio = part(a, toxic, pa_) + part(b, clean, pb) - part(a, toxic, p) - part(b, clean, p)
-    ratio[pa_ <= pb] = 0
-    table = counts.assign(ratio=ratio)
-    table = table[table["ratio"] > 6].sort_values(["ratio", "feature"], ascending=[False, True])
-    return table["feature"].head(most).tolist()
+def _informative(counts: DataFrame, toxic: int, clean: int, most: int) -> list[str]:
+    """Features with the largest log-likelihood ratio that are commoner in toxic texts; only ``most`` names leave Spark."""
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    part = lambda x, n, p: x * F.log(F.greatest(p, F.lit(1e-12))) + (n - x) * F.log(F.greatest(1 - p, F.lit(1e-12)))
+    of_toxic, of_clean, of_all = a / toxic, b / clean, (a + b) / (toxic + clean)
+    ratio = part(a, toxic, of_toxic) + part(b, clean, of_clean) - part(a, toxic, of_all) - part(b, clean, of_all)
+    table = counts.filter(of_toxic > of_clean).select("feature", ratio.alias("ratio")).filter("ratio > 6")
+    best = table.orderBy(F.desc("ratio"), "feature").limit(most)
+    return [r["feature"] for r in best.collect()]
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, n: int, decay: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -125,20 +123,20 @@ def train(
     by_class = found.join(F.broadcast(picked), "id").groupBy("feature").agg(
         F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")
     )
-    table = by_class.filter("toxic >= 3 and toxic > clean").toPandas()
     n_toxic, n_clean = int((chosen["y"] == 1).sum()), int((chosen["y"] == 0).sum())
-    names = _informative(table, n_toxic, n_clean, most_features)
-    place = {name: i for i, name in enumerate(names)}
+    names = _informative(by_class.filter("toxic >= 3 and toxic > clean"), n_toxic, n_clean, most_features)
     if not names:
         return ToxicityModel(letters, {}, float(np.log(toxic / clean)))
-    wanted = spark.createDataFrame(pd.DataFrame({"feature": names}))
-    held = found.join(F.broadcast(wanted), "feature").toPandas()
-    rows: dict[int, list[int]] = {key: [] for key in chosen["id"].tolist()}
-    for key, name in zip(held["id"].tolist(), held["feature"].tolist(), strict=True):
-        rows[key].append(place[name])  # a repeated row names it again
+    wanted = spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+    # a row per sampled document, with at most ``most_features`` numbers
+    held = found.join(F.broadcast(wanted), "feature").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    collected = held.toArrow()
+    places = dict(zip(collected.column("id").to_pylist(), collected.column("places"), strict=True))
+    none = np.zeros(0, np.int64)
+    rows = [places[key].values.to_numpy().astype(np.int64) if key in places else none for key in chosen["id"].tolist()]
     y = chosen["y"].to_numpy(np.float64)
     weight = np.where(y == 1, toxic / n_toxic, clean / n_clean)
-    w, bias = _logistic([np.array(sorted(set(rows[key])), np.int64) for key in chosen["id"].tolist()], y, weight, len(names))
+    w, bias = _logistic(rows, y, weight, len(names))
     return ToxicityModel(letters, dict(zip(names, w.tolist(), strict=True)), bias)
 
 
