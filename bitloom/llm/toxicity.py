@@ -54,6 +54,16 @@ def _feature_rows(shared) -> callable:
     return rows
 
 
+def _place_rows(letters, places) -> callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore, known = Restorer(letters.value), places.value
+        for batch in batches:
+            here = [sorted(known[f] for f in features(restore(text or "")) & known.keys()) for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(here, pa.list_(pa.int32()))], ["id", "places"])
+
+    return rows
+
+
 def _informative(counts: DataFrame, toxic: int, clean: int, most: int) -> list[str]:
     """Features with the largest log-likelihood ratio that are commoner in toxic texts; only ``most`` names leave Spark."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
@@ -127,9 +137,10 @@ def train(
     names = _informative(by_class.filter("toxic >= 3 and toxic > clean"), n_toxic, n_clean, most_features)
     if not names:
         return ToxicityModel(letters, {}, float(np.log(toxic / clean)))
-    wanted = spark.createDataFrame(list(enumerate(names)), "place int, feature string")
-    # a row per sampled document, with at most ``most_features`` numbers
-    held = found.join(F.broadcast(wanted), "feature").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    # a row per sampled document, with at most ``most_features`` numbers; a repeated row names them again
+    place = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})
+    marks = texts.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_place_rows(shared, place), "id long, places array<int>")
+    held = marks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
     collected = held.toArrow()
     places = dict(zip(collected.column("id").to_pylist(), collected.column("places"), strict=True))
     none = np.zeros(0, np.int64)
