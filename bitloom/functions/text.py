@@ -65,13 +65,22 @@ def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
-# The published Penn Treebank word rules (sentence splitting left out).
+# A full stop ends a sentence if white space follows and its word has two characters without a
+# stop before it (not "J." or "e.g.") and is none of these. Common abbreviations.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "jr", "sr", "etc", "fig", "inc")
+_SENTENCE_END = (
+    rf"(?<=[^\s.]{{2}})(?<!(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ABBREVIATIONS)}))(\.)([\]\)}}>\"'»”’]*)(?=\s)",
+    r" $1 $2",
+)
+
+# The published Penn Treebank word rules, with the rule for the ends of inner sentences.
 _PTB_RULES = [
     (r"([«“‘„]|[`]+)", r" $1 "),
     (r"^\"", r"``"),
     (r"(``)", r" $1 "),
     (r"([ \(\[{<])(\"|'{2})", r"$1 `` "),
     (r"(?iU)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"$1 $2"),
+    _SENTENCE_END,
     (r"([^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", r"$1 $2 $3 "),
     (r"([:,])([^\d])", r" $1 $2"),
     (r"([:,])$", r" $1 "),
@@ -137,7 +146,7 @@ _DETOKENIZE_RULES = [
 
 
 def tokenize_ptb(col: Column | str) -> Column:
-    """Normalise, lower-case, split by the Penn Treebank word rules."""
+    """Normalise, lower-case, split by the Penn Treebank word rules; a text may hold several sentences."""
     return _words(_chain(F.lower(normalize_text(col)), _PTB_RULES))
 
 

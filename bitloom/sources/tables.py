@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, spread over the cores if it has fewer files than there are cores.
-
-    A single file with one row group is read by one task; a large table has many
-    files and is left as it is.
-    """
-    table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """A table as it lies; its files and row groups decide the partitions."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def bitext_from_turns(turns: DataFrame) -> DataFrame:

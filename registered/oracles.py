@@ -6,7 +6,6 @@ the tests compare those with brute force.
 
 from __future__ import annotations
 
-from bitloom.functions.text import _DETOKENIZE_RULES, _PTB_RULES
 from registered.queries import PREFIX
 
 
@@ -34,24 +33,89 @@ def text_list(ids: str) -> str:
     return f"array_to_string({ids}, ',')"
 
 
-# RE2 has neither look-ahead nor $n; the rules without look-ahead carry over as they are
-_RE2 = {
-    r"(?iU)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b": (r"(')([^\WmtsdnMTSDN])\b", r"\1 \2"),
-    r"(?iU)\b(wan)(na)(?=\s)": (r"(?i)\b(wan)(na)(\s)", r" \1 \2 \3"),
-}
+# The published Treebank rules, in RE2 form (no look-around).
+PTB = [
+    (r"([«“‘„]|[`]+)", r" \1 "),
+    (r"^\"", r"``"),
+    (r"(``)", r" \1 "),
+    (r"([ \(\[{<])(\"|'{2})", r"\1 `` "),
+    (r"(')([^\WmtsdnMTSDN])\b", r"\1 \2"),
+    # the ends of inner sentences: hide the stops of abbreviations, part the others, show them again
+    (r"(^|[^\pL\pN])(mr|mrs|ms|dr|prof|st|vs|jr|sr|etc|fig|inc)\.([\]\)}>\"'»”’]*\s)", "\\1\\2\x01\\3"),
+    (r"([^\s.][^\s.])(\.)([\]\)}>\"'»”’]*)(\s)", r"\1 \2 \3\4"),
+    ("\x01", "."),
+    (r"([^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", r"\1 \2 \3 "),
+    (r"([:,])([^\d])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"(\.{2,})", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"([*])", r" \1 "),
+    (r"([\]\[\(\)\{\}<>])", r" \1 "),
+    (r"--", r" -- "),
+    (r"^(.*)$", r" \1 "),
+    (r"([»”’])", r" \1 "),
+    (r"''", r" '' "),
+    (r"\"", r" '' "),
+    (r"([^' ])('s|'m|'d|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'re|'ve|n't) ", r"\1 \2 "),
+    (r"\b(can)(not)\b", r" \1 \2 "),
+    (r"\b(d)('ye)\b", r" \1 \2 "),
+    (r"\b(gim)(me)\b", r" \1 \2 "),
+    (r"\b(gon)(na)\b", r" \1 \2 "),
+    (r"\b(got)(ta)\b", r" \1 \2 "),
+    (r"\b(lem)(me)\b", r" \1 \2 "),
+    (r"\b(more)('n)\b", r" \1 \2 "),
+    (r"\b(wan)(na)(\s)", r" \1 \2 \3"),
+    (r" ('t)(is)\b", r" \1 \2 "),
+    (r" ('t)(was)\b", r" \1 \2 "),
+]
+UNPTB = [
+    (r"( 't)\s(is|was)\b", r"\1\2"),
+    (r"\b(can)\s(not)\b", r"\1\2"),
+    (r"\b(d)\s('ye)\b", r"\1\2"),
+    (r"\b(gim|lem)\s(me)\b", r"\1\2"),
+    (r"\b(gon|wan)\s(na)\b", r"\1\2"),
+    (r"\b(got)\s(ta)\b", r"\1\2"),
+    (r"\b(more)\s('n)\b", r"\1\2"),
+    (r"([^' ])\s('ll|'re|'ve|n't) ", r"\1\2 "),
+    (r"([^' ])\s('s|'m|'d|') ", r"\1\2 "),
+    (r"(\S)\s('')", r"\1\2"),
+    (r"('')\s([.,:)\]>};%])", r"\1\2"),
+    (r"''", r'"'),
+    (r"^\s+|\s+$", r""),
+    (r" -- ", r"--"),
+    (r"([\[\(\{<])\s", r"\1"),
+    (r"\s([\]\)\}>])", r"\1"),
+    (r"([\]\)\}>])\s([:;,.])", r"\1\2"),
+    (r"([^'])\s'\s", r"\1' "),
+    (r"\s([?!])", r"\1"),
+    (r"([^\.])\s(\.)([\]\)}>\"']*)\s*$", r"\1\2\3"),
+    (r"([#$])\s", r"\1"),
+    (r"\s([;%])", r"\1"),
+    (r"\s([&*])\s", r" \1 "),
+    (r"\s\.\.\.\s", r"..."),
+    (r"\s([:,])\s", r"\1 "),
+    (r"([ (\[{<])\s``", r"\1``"),
+    (r"(``)\s", r"\1"),
+    (r"``", r'"'),
+]
 
 
 def chain(text: str, rules: list[tuple[str, str]]) -> str:
-    for pattern, replacement in rules:
-        pattern, replacement = _RE2.get(pattern, (pattern.replace("(?iU)", "(?i)"), replacement))
-        for i in "123":
-            replacement = replacement.replace(f"${i}", f"\\{i}")
-        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), replacement.replace("'", "''"))
+    for rule in rules:
+        pattern, replacement = (part.replace("'", "''") for part in rule)
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
     return text
 
 
 def ptb(text: str) -> str:
-    return words(chain(f"lower({norm(text)})", _PTB_RULES))
+    return words(chain(f"lower({norm(text)})", PTB))
+
+
+def unptb(tokens: str) -> str:
+    return f"trim({chain(f"' ' || array_to_string({tokens}, ' ') || ' '", UNPTB)})"
 
 
 def t13a(text: str) -> str:
@@ -110,7 +174,7 @@ eid AS (SELECT pair_id, ex.lang, list(coalesce(v.id, 3) ORDER BY pos) AS ids,
                list(coalesce(v.token, '<unk>') ORDER BY pos) AS known
         FROM ex LEFT JOIN voc v ON v.lang = ex.lang AND v.token = ex.token GROUP BY 1, 2),
 pids AS (SELECT p.pair_id, [1] || coalesce(s.ids, []) || [2] AS src_ids, [1] || coalesce(t.ids, []) || [2] AS tgt_ids,
-                coalesce(s.known, []) AS src_known
+                coalesce(s.known, []) AS src_known, coalesce(t.known, []) AS tgt_known
          FROM pairs p LEFT JOIN eid s ON s.pair_id = p.pair_id AND s.lang = 'src'
                       LEFT JOIN eid t ON t.pair_id = p.pair_id AND t.lang = 'tgt'),
 bat AS (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch_id FROM pids),
@@ -231,8 +295,7 @@ ORACLES: dict[str, str] = {
     "pad_mask": f"""{PAIRS} SELECT pair_id,
         {text_list('list_transform(src_padded, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END)')} AS mask FROM pad""",
     "strip_generated": f"{PAIRS} SELECT pair_id, {text_list('tgt_ids[2:len(tgt_ids) - 1]')} AS ids FROM pids",
-    "detokenize": f"""SELECT doc_id, trim({chain(f"' ' || array_to_string({ptb('text')}, ' ') || ' '", _DETOKENIZE_RULES)}) AS text
-        FROM documents""",
+    "detokenize": f"SELECT doc_id, {unptb(ptb('text'))} AS text FROM documents",
     "bpe_decode": "SELECT doc_id, text FROM documents",
     "lookup_tokens": KNOWN,
     "lookup_tokens_joined": KNOWN,
@@ -297,6 +360,11 @@ ORACLES: dict[str, str] = {
     "corpus_bleu_by_split": bleu(
         f"{HYP}, shyps AS (SELECT *, {split_of('sent_id')} AS split FROM hyps)", "shyps", "split"
     ) + " FROM parts",
+    "word_evaluation": bleu(
+        f"""{PAIRS}, scored AS (SELECT pair_id AS sent_id, {unptb('tgt_known')} AS hyp, tgt AS ref
+            FROM pids JOIN pairs USING (pair_id))""",
+        "scored",
+    ) + " FROM parts",
     "document_bleu": bleu(
         """WITH dhyps AS (SELECT doc_id AS sent_id, lang, text AS ref,
             array_to_string(list_filter(string_split(text, ' '), lambda t, i: (i - 1) % 7 <> 3), ' ') AS hyp FROM documents)""",
@@ -321,9 +389,10 @@ ORACLES: dict[str, str] = {
         SELECT run_id, epoch, value, greatest(before, value) AS best_so_far, value > before AS is_new_best FROM b""",
     "best_epoch": f"""{LOG} SELECT run_id, epoch, mean_loss AS value FROM epochs
         QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY mean_loss DESC, epoch) = 1""",
-    "make_batches": f"SELECT doc_id, {BATCHED} FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)",
-    "make_batches_shuffled": f"""SELECT doc_id, {BATCHED}
-        FROM (SELECT doc_id, row_number() OVER (ORDER BY {h60('7', 'doc_id')}, doc_id) AS rn FROM documents)""",
+    "make_batches": f"""SELECT doc_id, text, {BATCHED}
+        FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)""",
+    "make_batches_shuffled": f"""SELECT doc_id, text, {BATCHED}
+        FROM (SELECT doc_id, text, row_number() OVER (ORDER BY {h60('7', 'doc_id')}, doc_id) AS rn FROM documents)""",
     "length_bucketed_batches": f"""{DOCS}, o AS (SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n,
             (row_number() OVER (ORDER BY {h60('3', 'doc_id')}, doc_id) - 1) // 128 AS mega FROM toks),
         p AS (SELECT *, row_number() OVER (PARTITION BY mega ORDER BY n DESC, doc_id) - 1 AS place FROM o)

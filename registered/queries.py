@@ -16,7 +16,8 @@ from bitloom.sources.tables import bitext_from_turns, load
 from bitloom.streaming import jobs
 
 PREFIX = "translate Chinese to English: "
-HAN = "一丁七万丈三上下不与专且世丘丙业"
+LATIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+HAN = "".join(chr(0x4E00 + i) for i in range(len(LATIN)))  # one Chinese character for each of them
 BPE_SIZE = 320
 
 
@@ -225,16 +226,12 @@ def tokenize_ptb(spark, sf):
 
 
 def segment_zh(spark, sf):
-    """Documents written without spaces in sixteen Chinese characters, cut with their own words."""
-
-    def han(col):
-        plain = F.regexp_replace(F.lower(col), "[^a-p ]", "")
-        return F.translate(plain, "abcdefghijklmnop", HAN)
-
-    english = documents(spark, sf).filter("lang = 'en'")
-    words = english.select(F.explode(F.split(han("text"), " +")).alias("word")).filter("word <> ''")
-    dictionary = words.groupBy("word").agg(F.count("*").alias("freq"))
-    solid = english.select("doc_id", F.replace(han("text"), F.lit(" "), F.lit("")).alias("line"))
+    """All documents without their spaces, letters and digits as Chinese characters, cut with their commonest words."""
+    han = documents(spark, sf).select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("text"))
+    words = han.select(F.lit("zh").alias("lang"), F.regexp_extract_all("text", F.lit(f"[{HAN}]+"), F.lit(0)).alias("tokens"))
+    vocab = counting.build_vocab(counting.token_counts(words), 1, 500_000).filter(F.col("id") >= len(counting.SPECIALS))
+    dictionary = vocab.select(F.col("token").alias("word"), "freq")
+    solid = han.select("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("line"))
     return segment.segment_zh(solid, dictionary, "line").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -489,6 +486,18 @@ def corpus_bleu_by_split(spark, sf):
     return _rounded_bleu(bleu.corpus_bleu(pairs, ["split"]))
 
 
+def word_evaluation(spark, sf):
+    """Generated target ids, with noise after the end, back to text and scored against the raw references."""
+    vocab = side_vocab(spark, sf)
+    generated = F.concat("tgt_ids", F.array(*[F.lit(i) for i in (7, counting.EOS, 9, counting.PAD)]))
+    ids = idf.strip_generated(generated, counting.SOS, counting.EOS, counting.PAD)
+    rows = pair_ids(spark, sf, vocab).select("pair_id", ids.alias("ids"))
+    words = encoding.lookup_tokens(rows, vocab.filter("lang = 'tgt'"), "ids")
+    hyps = words.select(F.col("pair_id").alias("sent_id"), tx.detokenize("tokens").alias("hyp"))
+    refs = bitext(spark, sf).select(F.col("pair_id").alias("sent_id"), F.col("tgt").alias("ref"))
+    return _rounded_bleu(bleu.corpus_bleu(bleu.align_hyp_ref(hyps, refs)))
+
+
 def document_bleu(spark, sf):
     """BLEU of all documents against themselves without every seventh word, per language."""
     hyp = F.array_join(F.filter(F.split("text", " "), lambda t, i: i % 7 != 3), " ")
@@ -547,11 +556,11 @@ def best_epoch(spark, sf):
 
 
 def make_batches(spark, sf):
-    return batching.make_batches(documents(spark, sf).select("doc_id"), 256, key="doc_id")
+    return batching.make_batches(documents(spark, sf).drop("lang"), 256, key="doc_id")
 
 
 def make_batches_shuffled(spark, sf):
-    return batching.make_batches(documents(spark, sf).select("doc_id"), 256, shuffle=True, seed=7, key="doc_id")
+    return batching.make_batches(documents(spark, sf).drop("lang"), 256, shuffle=True, seed=7, key="doc_id")
 
 
 def length_bucketed_batches(spark, sf):
@@ -670,7 +679,7 @@ ALL = [
     numericalize, numericalize_joined, align_vectors, vector_hit_stats, align_hyp_ref, oov_report,
     token_counts, token_counts_first_seen, build_vocab, build_vocab_first_seen, vocab_stats, vocabulary_totals,
     coverage_size, min_freq_sweep, top_tokens, length_stats, length_stats_approx, length_histogram, length_kde,
-    suggest_max_len, corpus_bleu, corpus_bleu_by_split, document_bleu, tokens_13a, train_bpe, pre_token_counts,
+    suggest_max_len, corpus_bleu, corpus_bleu_by_split, word_evaluation, document_bleu, tokens_13a, train_bpe, pre_token_counts,
     epoch_metrics, coverage_curve, coverage_view, rank_frequency, coverage_guides, running_best, best_epoch,
     make_batches, make_batches_shuffled, length_bucketed_batches, pad_batch, padding_waste, total_padding_waste,
     topk_candidates, sample_predictions, first_prediction,

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -7,14 +8,14 @@ import tokenizers
 
 import __spark_entry__ as entry
 from bitloom.operators.bpe import SPECIALS
-from registered.queries import BPE_SIZE, documents
+from registered.queries import BPE_SIZE, HAN, LATIN, documents
 from tools.check_queries import TABLES, fingerprint
 
 SMALL = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
 CHECKED = [
     "tokenize_ws", "token_counts", "build_vocab", "coverage_size", "coverage_curve", "length_histogram", "numericalize",
-    "pad_batch", "make_batches_shuffled", "corpus_bleu", "bpe_decode", "align_vectors", "read_rejects", "running_best",
+    "pad_batch", "make_batches_shuffled", "corpus_bleu", "tokenize_ptb", "detokenize", "word_evaluation", "bpe_decode", "align_vectors", "read_rejects", "running_best",
 ]
 
 
@@ -61,10 +62,19 @@ def test_registered_bpe_equals_library(spark, tmp_path):
 
 
 def test_registered_segmentation_keeps_every_character(spark):
-    english = documents(spark, SMALL).filter("lang = 'en'")
-    letters = {r.doc_id: sum(c in "abcdefghijklmnop" for c in r.text.lower()) for r in english.collect()}
+    def written(text):
+        solid = "".join(text.lower().translate(str.maketrans(LATIN, HAN)).split())
+        return "".join(c for c in unicodedata.normalize("NFKC", solid) if c.isprintable() and not c.isspace())
+
     rows = entry.queries()["segment_zh"](spark, SMALL).collect()
-    assert {r.doc_id: len(r.tokens.replace(" ", "")) for r in rows} == letters
+    expected = {r.doc_id: written(r.text) for r in documents(spark, SMALL).collect()}
+    assert {r.doc_id: r.tokens.replace(" ", "") for r in rows} == expected
+
+
+@pytest.mark.parametrize("name", ["tokenize_ws", "token_counts", "numericalize", "make_batches", "pad_batch", "corpus_bleu"])
+def test_tables_are_not_dealt_anew(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" not in plan
 
 
 def test_rules_of_the_house():

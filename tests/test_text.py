@@ -46,6 +46,11 @@ def test_tokenize_ws(spark):
         ("don't (really) -- it's fine...", "do n't ( really ) -- it 's fine ..."),
         ('He said "hi".', "he said `` hi '' ."),
         ("gonna wanna go", "gon na wan na go"),
+        ("Hello there. How are you? Fine. I left.", "hello there . how are you ? fine . i left ."),
+        ("Dr. Smith met J. Doe. They left, e.g. by car.", "dr. smith met j. doe . they left , e.g. by car ."),
+        ('He said "stop." Then it cost 3.5. (We paid.) Done.', "he said `` stop . '' then it cost 3.5. ( we paid . ) done ."),
+        ("Er ist verwüst. Ja.", "er ist verwüst . ja ."),
+        ("It isn't. We'll see...", "it is n't . we 'll see ..."),
     ],
 )
 def test_tokenize_ptb(spark, text, tokens):
