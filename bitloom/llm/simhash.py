@@ -19,6 +19,8 @@ BITS = 64
 STRIDE = 4  # levels of the trie that one round of the distributed traversal descends
 LEAF = 30_000  # fingerprints below a node pair that one task compares
 FRONTIER = 200_000  # node pairs a task holds at a time
+QUARTER = BITS // 4
+WIDE_FRONTIER = 30_000  # the same where a wide budget leaves many leaf pairs
 SMALL = 64  # below this many leaf pairs a node pair is compared outright
 
 
@@ -108,18 +110,21 @@ def _node_pairs(prints: DataFrame, budget: int) -> list[tuple[int, DataFrame]]:
         )
 
 
-def _traverse(a: np.ndarray, b: np.ndarray, same: bool, level: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _traverse(
+    a: np.ndarray, b: np.ndarray, same: bool, level: int, budget: int, lead: int | None = None, frontier: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) with at most ``budget`` differing bits, a batch at a time.
 
-    ``a`` and ``b`` are sorted and distinct; a node is a range of places. Node
-    pairs descend bit by bit together; a pair dies when the bits that differ on
-    the way exceed the budget.
+    ``a`` and ``b`` are sorted; a node is a range of places. Node pairs descend
+    bit by bit together; a pair dies when the bits that differ on the way exceed
+    the budget, or ``lead`` within the first quarter of the bits.
     """
+    frontier = frontier or FRONTIER
     stack = [(level, np.array([[0, len(a), 0, len(b), 0 if same else _differing(a, b, level)]], dtype=np.int64))]
     while stack:
         level, nodes = stack.pop()
-        if len(nodes) > FRONTIER:
-            stack += [(level, nodes[i : i + FRONTIER]) for i in range(0, len(nodes), FRONTIER)]
+        if len(nodes) > frontier:
+            stack += [(level, nodes[i : i + frontier]) for i in range(0, len(nodes), frontier)]
             continue
         size = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
         small = (size <= SMALL) | (level >= BITS)
@@ -148,7 +153,8 @@ def _traverse(a: np.ndarray, b: np.ndarray, same: bool, level: int, budget: int)
             np.stack([a0, cut_a, cut_b, b1, used + 1], 1),
             np.stack([cut_a, a1, b0, cut_b, used + 1], 1)[~twin],
         ])
-        alive = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= budget)
+        most = budget if lead is None or level >= QUARTER else lead
+        alive = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= most)
         stack.append((level + 1, children[alive]))
 
 
@@ -252,3 +258,166 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     leaders = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).join(leaders, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def _words(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles that `_fingerprint` counts."""
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)], np.uint64))
+
+
+def _described(text: Column, shingle: int, with_set: bool) -> Column:
+    """``copy`` (128-bit hash of the words) beside the fingerprint and the number of shingles, or beside their set."""
+    schema = "copy binary, " + ("shingles array<long>" if with_set else "fingerprint long, n int")
+
+    @F.arrow_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    def describe(texts: pa.Array) -> pa.Array:
+        held = as_bytes(texts)
+        copies = pa.array([xxhash.xxh3_128_digest(_words(t)) for t in held], pa.binary())
+        if with_set:
+            sets = pa.array([_shingles(t, shingle).view(np.int64) for t in held], pa.list_(pa.int64()))
+            return pa.StructArray.from_arrays([copies, sets], ["copy", "shingles"])
+        prints = np.array([_fingerprint(t, shingle, 42) for t in held], np.uint64).view(np.int64)
+        sizes = pa.array([len(_shingles(t, shingle)) for t in held], pa.int32())
+        return pa.StructArray.from_arrays([copies, pa.array(prints), sizes], ["copy", "fingerprint", "n"])
+
+    return describe(text)
+
+
+def _lane_pairs(prints: DataFrame, budget: int) -> list[tuple[int, DataFrame]]:
+    """`_node_pairs` in every lane of ``prints`` (``lane, side, fingerprint``): ``lane, other, a, b`` per level.
+
+    Pairs lie within side 0 (``other`` 0) or between side 0 and side 1. In the
+    first quarter of the bits a fourth of the budget may differ.
+    """
+    done, level = [], 0
+    sizes = materialize(prints.groupBy("lane").pivot("side", [0, 1]).count().na.fill(0).toDF("lane", "n0", "n1"), "lanes")
+    side = lambda k, n: F.struct(F.lit(k).alias("other"), n.alias("n"))
+    sides = F.explode(F.array(side(0, F.col("n0") * 2), side(1, F.col("n0") + F.col("n1"))))
+    root = F.lit(0).cast("long")
+    pairs = sizes.filter("n0 > 0").select("lane", "n1", sides.alias("_s")).select(
+        "lane", "_s.other", root.alias("a"), root.alias("b"), F.lit(0).alias("used"), "_s.n", "n1"
+    )
+    pairs = pairs.filter("other = 0 or n1 > 0").drop("n1")
+    while True:
+        last = level + STRIDE > BITS
+        ready = pairs if last else pairs.filter(F.col("n") <= 2 * LEAF)
+        if ready.take(1):
+            done.append((level, ready.select("lane", "other", "a", "b")))
+        crowded = pairs.limit(0) if last else pairs.filter(F.col("n") > 2 * LEAF)
+        if not crowded.take(1):
+            return done
+        level += STRIDE
+        most = budget // 4 if level <= QUARTER else budget
+        nodes = prints.groupBy("lane", "side", _prefix("fingerprint", level).alias("node")).agg(F.count("*").alias("n"))
+        nodes = materialize(nodes, "nodes")
+        child_a = nodes.filter("side = 0").select("lane", F.shiftright("node", STRIDE).alias("a"), F.col("node").alias("ca"), F.col("n").alias("na"))
+        masks = F.array(*[F.lit(m) for m in _masks(STRIDE, min(most, STRIDE))])
+        flipped = F.col("ca").bitwiseAND(F.lit((1 << STRIDE) - 1)).bitwiseXOR(F.col("mask").cast("long"))
+        wanted = (
+            crowded.drop("n")
+            .join(child_a, ["lane", "a"])
+            .withColumn("mask", F.explode(masks))
+            .withColumn("used", F.col("used") + F.bit_count("mask").cast("int"))
+            .filter(F.col("used") <= most)
+            .withColumn("cb", F.shiftleft("b", STRIDE).bitwiseOR(flipped))
+            .filter("other = 1 or ca <= cb")
+        )
+        child_b = nodes.select("lane", F.col("side").alias("other"), F.col("node").alias("cb"), F.col("n").alias("nb"))
+        met = wanted.join(child_b, ["lane", "other", "cb"])
+        pairs = materialize(
+            met.select("lane", "other", F.col("ca").alias("a"), F.col("cb").alias("b"), "used", (F.col("na") + F.col("nb")).alias("n")),
+            "node-pairs",
+        )
+
+
+def _candidates_of(level: int, budget: int, similarity: float):
+    def candidates(group: pd.DataFrame) -> pd.DataFrame:
+        first, out = group.iloc[0], []
+        same = first["other"] == 0 and first["a"] == first["b"]
+        sides = []
+        for side in (0, 1):
+            rows = group[group["place"] == side]
+            prints = rows["fingerprint"].to_numpy().view(np.uint64)
+            order = np.argsort(prints, kind="stable")
+            sides.append([prints[order], rows["node"].to_numpy()[order], rows["n"].to_numpy()[order]])
+        (a, node_a, n_a), (b, node_b, n_b) = sides[0], sides[0] if same else sides[1]
+        found = _traverse(a, b, same, level, budget, budget // 4, WIDE_FRONTIER) if len(a) and len(b) else ()
+        for i, j in found:
+            near = np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j]) - 1e-9
+            out.append(np.stack([node_a[i[near]], node_b[j[near]]], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"u": pairs.min(1) if len(pairs) else [], "v": pairs.max(1) if len(pairs) else []}, dtype=np.int64)
+
+    return candidates
+
+
+def candidate_pairs(texts: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """``u, v``: all pairs of ``node`` within ``budget`` bits whose set sizes ``n`` allow the similarity.
+
+    Two fingerprints within the budget differ in a fourth of it at most in one
+    of their quarters. The trie self-join runs on four rotations, each with
+    another quarter in front, and leaves out what exceeds that fourth there. A
+    lane is a rotation and a class of sizes, with the next class as its other side.
+    """
+    class_of = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    turned = lambda k: F.shiftleft("fingerprint", k).bitwiseOR(F.shiftrightunsigned("fingerprint", BITS - k)) if k else F.col("fingerprint")
+    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), turned(QUARTER * r).alias("f")) for r in range(4)]))
+    side = lambda c, k: F.struct(c.alias("c"), F.lit(k).alias("side"))
+    sides = F.explode(F.array(side(F.col("_class"), 0), side(F.col("_class") - 1, 1)))
+    prints = texts.filter("n > 0").select("node", "n", class_of.alias("_class"), turns.alias("_t")).withColumn("_s", sides)
+    prints = prints.select((F.col("_s.c") * 4 + F.col("_t.r")).alias("lane"), "_s.side", F.col("_t.f").alias("fingerprint"), "node", "n")
+    prints = materialize(prints, "lanes")
+    pairs = prints.sparkSession.createDataFrame([], "u long, v long")
+    for level, met in _lane_pairs(prints, budget):
+        places = met.select("lane", "other", "a", "b", F.lit(0).alias("side"), F.col("a").alias("at"), F.lit(0).alias("place")).unionByName(
+            met.filter("other = 1 or a <> b").select(
+                "lane", "other", "a", "b", F.col("other").alias("side"), F.col("b").alias("at"), F.lit(1).alias("place")
+            )
+        )
+        rows = prints.withColumn("at", _prefix("fingerprint", level)).join(places, ["lane", "side", "at"])
+        rows = rows.select("lane", "other", "a", "b", "place", "fingerprint", "node", "n")
+        found = rows.groupBy("lane", "other", "a", "b").applyInPandas(_candidates_of(level, budget, similarity), "u long, v long")
+        pairs = pairs.unionByName(found)
+    return pairs.distinct()
+
+
+def keep_dissimilar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 15, similarity: float = 0.8
+) -> DataFrame:
+    """The rows of ``docs`` whose id leads its group of near copies; all columns stay.
+
+    Documents of equal words are copies. Others are linked if their
+    fingerprints are within ``budget`` bits and the Jaccard similarity of their
+    sets of shingles, which is computed for each such pair, is ``similarity`` or
+    more; groups are the components of the links. Nulls and repeated ids are
+    treated as by `keep_one`.
+    """
+    named = docs.filter(F.col(id_col).isNotNull())
+    seen = named.select(F.col(id_col).alias("id"), _described(F.col(text_col), shingle, False).alias("_d"))
+    grouped = seen.groupBy("_d.copy").agg(F.min("id").alias("least"), F.min("_d.fingerprint").alias("fingerprint"), F.min("_d.n").alias("n"))
+    texts = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "texts")
+    pairs = materialize(candidate_pairs(texts, budget, similarity), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = materialize(texts.join(asked, "node", "left_semi").select("node", "copy", "least"), "asked")
+    read = named.join(asked.select(F.col("least").alias(id_col)).distinct(), id_col, "left_semi")
+    sets = read.select(_described(F.col(text_col), shingle, True).alias("_d")).select("_d.copy", "_d.shingles")
+    sets = sets.join(asked, "copy").dropDuplicates(["node"]).select("node", "shingles")
+    sets = materialize(sets, "shingles")
+    shared = F.size(F.array_intersect("s", "t"))
+    confirmed = (
+        pairs.join(sets.toDF("u", "s"), "u")
+        .join(sets.toDF("v", "t"), "v")
+        .filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared) - 1e-9)
+        .select("u", "v")
+    )
+    member = components(materialize(confirmed, "confirmed"))
+    rooted = texts.join(member, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    leaders = rooted.groupBy("root").agg(F.min("least").alias(id_col)).select(id_col).distinct()
+    kept = named.join(leaders, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

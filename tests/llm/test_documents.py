@@ -101,6 +101,31 @@ def test_trie_join_equals_all_pairs(spark, monkeypatch):
     assert _components(signed, mine) == _components(signed, pairs)
 
 
+@pytest.mark.parametrize("leaf", [8, 30_000])
+def test_near_copies_with_changed_words_go(spark, docs, monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(40, 160))] for _ in range(40)]
+    for words in texts[:25]:
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), rng.randrange(1, 4)):
+            copy[at] = "changed"
+        texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    bits = [_fingerprint(" ".join(w), 5) for w in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    far = lambda a, b: (bits[a] ^ bits[b]).bit_count()
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and far(a, b) <= 15]
+    assert len(alike) > 10 and sum(far(a, b) > 3 for a, b in alike) > 5
+    roots = _components(range(len(texts)), alike)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    copies, nameless = frame.selectExpr("doc_id + 100", "concat(' ', upper(text))"), frame.limit(3).selectExpr("cast(null AS long)", "text")
+    twice = frame.union(copies).union(nameless)
+    kept = [r.doc_id for r in simhash.keep_dissimilar(twice).collect()]
+    assert kept.count(None) == 3 and sorted(k for k in kept if k is not None) == sorted(i for i in roots if roots[i] == i)
+    assert simhash.keep_dissimilar(docs).columns == docs.columns
+
+
 def test_shards(rows, docs, empty):
     found = packing.shard_documents(docs, 5).collect()
     expected = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
