@@ -31,6 +31,33 @@ def test_numericalize_and_back(spark, vocab, sentences, bound):
     assert words == {k: None if t is None else [w if w in ids else "<unk>" for w in t] for k, t in sentences}
 
 
+@pytest.mark.parametrize("route", ["broadcast", "join"])
+def test_routes_agree_on_repeats(spark, vocab, route):
+    repeated = vocab.unionByName(vocab.filter("id >= 10").selectExpr("id + 100 AS id", "token")).union(spark.createDataFrame([(7, None)], "id int, token string"))
+    rows = [(1, ["w0", "w9"]), (1, ["w1"]), (1, None), (1, []), (None, ["w2", "no", None]), (None, ["w2"])]
+    df = spark.createDataFrame(rows, "pair_id long, tokens array<string>").repartition(3)
+    found = encoding.numericalize(df, repeated, route=route)
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(
+        map(repr, [(k, t, None if t is None else [int(w[1:]) + 4 if w and w != "no" else 3 for w in t]) for k, t in rows])
+    )
+    back = encoding.lookup_tokens(found.drop("tokens"), vocab.union(vocab.selectExpr("id", "concat(token, '~')")), route=route).collect()
+    plain = lambda t: None if t is None else [w if w and w != "no" else "<unk>" for w in t]
+    assert sorted(map(repr, [(r.pair_id, r.tokens) for r in back])) == sorted(map(repr, [(k, plain(t)) for k, t in rows]))
+
+
+def test_a_stream_is_looked_up_beyond_the_bound(spark, vocab, tmp_path):
+    rows = spark.createDataFrame([(1, ["w0", "no"]), (1, None)], "pair_id long, tokens array<string>")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    found = encoding.numericalize(stream, vocab, broadcast_entries=10)
+    writer = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    ids = [r.ids for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(ids, key=str) == sorted([[4, 3], None], key=str)
+    with pytest.raises(ValueError):
+        encoding.numericalize(stream, vocab, route="join")
+
+
 def test_lookup_of_unknown_ids(spark, vocab):
     df = spark.createDataFrame([(1, [0, 99, -1, 4])], "pair_id long, ids array<int>")
     assert encoding.lookup_tokens(df, vocab).first().tokens == ["<pad>", "<unk>", "<unk>", "w0"]
