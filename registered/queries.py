@@ -226,13 +226,12 @@ def tokenize_ptb(spark, sf):
 
 
 def segment_zh(spark, sf):
-    """All documents without their spaces, letters and digits as Chinese characters, cut with their commonest words."""
+    """All documents without their spaces, letters and digits as Chinese characters, cut with all their words."""
     han = documents(spark, sf).select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("text"))
     words = han.select(F.lit("zh").alias("lang"), F.regexp_extract_all("text", F.lit(f"[{HAN}]+"), F.lit(0)).alias("tokens"))
-    vocab = counting.build_vocab(counting.token_counts(words), 1, 500_000).filter(F.col("id") >= len(counting.SPECIALS))
-    dictionary = vocab.select(F.col("token").alias("word"), "freq")
+    dictionary = materialize(counting.token_counts(words).select(F.col("token").alias("word"), "freq"), "words")
     solid = han.select("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("line"))
-    return segment.segment_zh(solid, dictionary, "line").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return segment.segment_zh(solid, dictionary, "line", max_words=0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def tokenize(spark, sf):
