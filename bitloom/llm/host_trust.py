@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from bitloom.plans.storage import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
+TOLERANCE = 5e-14  # summed change of a walk's scores; what is left is 0.85 / 0.15 of it, below half the 12th digit
+
 Rule = tuple[str, str, str]  # verdict, host, path
 
 
@@ -52,7 +55,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """``walk, host, score``: personalised PageRank of every walk at once.
 
     ``edges`` has ``walk, src, dst, weight`` and ``seeds`` ``walk, host, mass``
@@ -60,7 +63,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     links by weight; what is lost at hosts without links, and the share 1 -
     damping, goes back to the seeds of the walk, so that the scores of a walk add up to 1. Sums are
     combined before they are shuffled, so a host that everybody links to is
-    not gathered; every round is a written table.
+    not gathered; every round is a written table. Rounds go on until the scores
+    of no walk change by more than `TOLERANCE` in sum, or to the number of
+    ``rounds`` if one is given.
     """
     total = seeds.groupBy("walk").agg(F.sum("mass").alias("_all"))
     start = materialize(seeds.join(total, "walk").select("walk", "host", (F.col("mass") / F.col("_all")).alias("seed")), "seeds")
@@ -71,7 +76,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     scores = start.select("walk", "host", F.col("seed").alias("score"))
     if not steps.take(1):
         return scores
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         moved = (
             steps.join(scores.withColumnRenamed("host", "src"), ["walk", "src"])
             .groupBy("walk", F.col("dst").alias("host"))
@@ -82,7 +87,15 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
         back = start.join(kept, "walk", "left").select(
             "walk", "host", (F.col("seed") * (F.lit(1.0) - F.coalesce("_kept", F.lit(0.0)))).alias("score")
         )
-        scores = materialize(moved.unionByName(back).groupBy("walk", "host").agg(F.sum("score").alias("score")), "scores")
+        before = scores.select("walk", "host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        after = moved.unionByName(back).withColumn("before", F.lit(0.0)).unionByName(before)
+        after = materialize(after.groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "scores")
+        # a host that only the round before reached has the score 0 and counts as change
+        scores = after.select("walk", "host", "score")
+        if rounds is None:
+            change = after.groupBy("walk").agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("c")).agg(F.max("c")).first()[0]
+            if (change or 0.0) <= TOLERANCE:
+                break
     return scores
 
 
@@ -93,7 +106,7 @@ def judge_urls(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    rounds: int = 10,
+    rounds: int | None = None,
     margin: float = 0.0,
 ) -> DataFrame:
     """``id_col, host, path, rule, verdict, trust, distrust`` for every page.

@@ -142,6 +142,18 @@ def test_page_rank_equals_brute_force(spark):
     assert all(found.get(i, 0.0) == pytest.approx(score_[i], abs=1e-12) for i in range(9))
 
 
+def test_walks_reach_the_end_of_a_long_chain(spark):
+    n = 13
+    frame = spark.createDataFrame([("w", str(i), str(i + 1), 1) for i in range(n - 1)], "walk string, src string, dst string, weight long")
+    seed = spark.createDataFrame([("w", "0", 1.0)], "walk string, host string, mass double")
+    score_ = np.eye(n)[0]
+    for _ in range(2000):
+        moved = 0.3 * np.r_[0, score_[:-1]]
+        score_ = moved + (1 - moved.sum()) * np.eye(n)[0]
+    found = {int(r.host): r.score for r in host_trust.spread(frame, seed, damping=0.3).collect()}
+    assert found[n - 1] > 0 and all(found[i] == pytest.approx(score_[i], abs=1e-12) for i in range(n))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     plain = "the river runs over the stone and under the bridge while people walk home in the evening".split()
