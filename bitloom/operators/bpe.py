@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ PRE_TOKEN_IN_LINES = (
 )
 
 MAX_PIECES = 1_000_000
-CANDIDATES = 256
-ROUNDS_PER_TABLE = 32
 CACHED_WORDS = 500_000
 
 
@@ -57,98 +56,211 @@ def pre_token_counts(lines: DataFrame) -> DataFrame:
     return pre_tokens.groupBy("pretoken").agg(F.count("*").alias("freq"))
 
 
-def _spelled(counts: DataFrame, byte_ids: dict[int, int]) -> DataFrame:
-    """Words as ``:id;:id;...``. Both delimiters belong to each symbol, so a plain
-    text replacement merges neighbours from left to right without overlaps."""
-    pieces = [f":{byte_ids[b]};" for b in range(256)]
+def _merge(symbols: list[int], ranks: dict[tuple[int, int], list[tuple[int, int]]]) -> list[int]:
+    """Apply merges in the order in which they were learnt, each to all its places from left to right.
 
-    @F.arrow_udf("string")
-    def spell(words: pa.Array) -> pa.Array:
-        return pa.array(["".join([pieces[b] for b in w.encode()]) for w in words.to_pylist()], pa.string())
-
-    return counts.filter(F.octet_length("pretoken") > 1).select(spell(F.col("pretoken")).alias("word"), "freq")
+    ``ranks`` has the ranks of each pair, ascending, with the new id of each. A
+    pair that comes up again after its turn waits for its next rank, if any. A
+    queue of places keeps long words from taking quadratic time.
+    """
+    after = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    symbols: list[int | None] = list(symbols)
+    queue = [(ranks[pair][0], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+    heapify(queue)
+    while queue:
+        (rank, new), i, pair = heappop(queue)
+        j = after[i]
+        if j >= len(symbols) or (symbols[i], symbols[j]) != pair:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j] = new, None
+        after[i] = after[j]
+        if after[i] < len(symbols):
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < len(symbols):
+                pair = (symbols[left], symbols[right])
+                later = next((turn for turn in ranks.get(pair, ()) if turn[0] > rank), None)
+                if later:
+                    heappush(queue, (later, left, pair))
+    return [s for s in symbols if s is not None]
 
 
-def _top_pairs(words: DataFrame) -> list[tuple[int, int, int]]:
-    """The most frequent neighbour pairs, ties by smallest ids."""
-    symbols = words.select("freq", F.split("word", ";").alias("s"))
-    n = F.size("s") - 2  # the text ends with a delimiter
-    neighbours = symbols.filter(n > 0).select(
-        "freq", F.inline(F.arrays_zip(F.slice("s", F.lit(1), n).alias("l"), F.slice("s", F.lit(2), n).alias("r")))
-    )
-    ranked = (
-        neighbours.groupBy("l", "r")
-        .agg(F.sum("freq").alias("count"))
-        .select(F.substring("l", 2, 9).cast("int").alias("l"), F.substring("r", 2, 9).cast("int").alias("r"), "count")
-        .orderBy(F.desc("count"), "l", "r")
-        .limit(CANDIDATES)
-    )
-    return [(row["l"], row["r"], row["count"]) for row in ranked.collect()]
+def _pair_changes(
+    words: DataFrame,
+    byte_ids: list[int],
+    spelled: list[bytes],
+    merges: list[tuple[int, int, int]],
+    done: int,
+) -> DataFrame:
+    """``l, r, change``: how merges ``done`` and later alter the counts of neighbour pairs, given those before them.
 
+    A word can change only if its text holds the two pieces of a merge side by
+    side, which is looked for in its bytes first. With ``done = 0`` and no
+    merges, the counts themselves.
+    """
 
-def train_bpe(
-    lines: DataFrame, vocab_size: int = 8000, min_frequency: int = 2, merges_per_round: int | None = None
-) -> BpeModel:
-    """Learn byte-level BPE merges from a ``line`` column.
+    def index(some: list[tuple[int, int, int]]) -> dict:
+        ranks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for rank, (left, right, new) in enumerate(some):
+            ranks.setdefault((left, right), []).append((rank, new))
+        return ranks
+
+    old, new = index(merges[:done]), index(merges[done:])
+    sought = "|".join("".join(f"\\x{b:02x}" for b in spelled[left] + spelled[right]) for left, right, _ in merges[done:])
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = defaultdict(int)
+        for batch in batches:
+            if sought:
+                batch = batch.filter(pc.match_substring_regex(batch["word"], pattern=sought))
+            for word, freq in zip(batch["word"].to_pylist(), batch["freq"].to_pylist(), strict=True):
+                was = _merge([byte_ids[b] for b in word], old)
+                if not sought:
+                    for pair in zip(was, was[1:]):
+                        found[pair] += freq
+                    continue
+                now = _merge(was, new)
+                if len(now) < len(was):
+                    for pair in zip(was, was[1:]):
+                        found[pair] -= freq
+                    for pair in zip(now, now[1:]):
+                        found[pair] += freq
+        left, right = zip(*found, strict=True) if found else ((), ())
+        columns = [pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(list(found.values()), pa.int64())]
+        yield pa.record_batch(columns, ["l", "r", "change"])
+
+    partial = words.mapInArrow(changes, "l int, r int, change long")
+    return partial.groupBy("l", "r").agg(F.sum("change").alias("change")).filter("change <> 0")
+
+
+class _Ranking:
+    """The pairs above a count, by count and smallest ids: exact for counts above ``floor``, which others do not reach.
+
+    It holds at most twice ``size`` pairs, however many words there are. A merge
+    that spells a new piece takes from counts of old pairs and adds to pairs of
+    the new piece alone, so what lies at or below the floor stays there.
+    """
 
-    Only the table of distinct words with their counts is kept; every round is a
-    Spark job that counts neighbour pairs and rewrites that table.
+    def __init__(self, counts: DataFrame, size: int):
+        rows: dict[str, list] = {}
+        while not rows:
+            self.size, self.floor = size, 0
+            rows = counts.orderBy(F.desc("change"), "l", "r").limit(size + 1).toArrow().to_pydict()
+            self.counts = {(a, b): n for a, b, n in zip(rows["l"], rows["r"], rows["change"], strict=True)}
+            self.queue = [(-n, pair) for pair, n in self.counts.items()]
+            heapify(self.queue)
+            self._trim(size)
+            if rows["l"] and not self.counts:
+                rows, size = {}, 2 * size  # all of one count: none is above the floor
+
+    def _trim(self, most: int) -> None:
+        if len(self.counts) > most:
+            ordered = sorted(self.counts.values(), reverse=True)
+            self.floor = max(self.floor, ordered[self.size])
+            self.counts = {pair: n for pair, n in self.counts.items() if n > self.floor}
+            self.queue = [(-n, pair) for pair, n in self.counts.items()]
+            heapify(self.queue)
+
+    def change(self, rows: dict[str, list]) -> None:
+        for left, right, n in zip(rows["l"], rows["r"], rows["change"], strict=True):
+            pair = (left, right)
+            if n > 0 or pair in self.counts:
+                total = self.counts.pop(pair, 0) + n
+                if total > self.floor:
+                    self.counts[pair] = total
+                    heappush(self.queue, (-total, pair))
+        self._trim(2 * self.size)
+
+    def pop(self) -> tuple[int, int, int] | None:
+        """Remove and return the first pair with its count."""
+        while self.queue:
+            n, pair = heappop(self.queue)
+            if self.counts.get(pair) == -n:
+                del self.counts[pair]
+                return *pair, -n
+        return None
+
+    def put_back(self, left: int, right: int, n: int) -> None:
+        self.counts[left, right] = n
+        heappush(self.queue, (-n, (left, right)))
 
-    A round takes several merges and still gives the sequential result. Walk
-    down the pairs by (count, smallest ids) and accept until one shares a symbol
-    with an accepted pair. Up to there, earlier merges change neither the counts
-    of later pairs nor can a pair they create come first: it contains a new id
-    and is no more frequent than the pair it grew from, which ranks lower. If a
-    merge spells a piece that exists already, its pairs gain counts, so the round
-    ends with it.
 
-    ``merges_per_round`` limits how many a round takes; it does not change the result.
+def train_bpe(
+    lines: DataFrame,
+    vocab_size: int = 8000,
+    min_frequency: int = 2,
+    merges_per_round: int | None = None,
+    pairs_kept: int = 200_000,
+) -> BpeModel:
+    """Learn byte-level BPE merges from a ``line`` column, as one merge at a time would.
+
+    Distinct words with their counts are written once and never changed: the
+    merges so far say how a word is cut. The driver ranks the most frequent
+    pairs, at most ``2 * pairs_kept`` of them. A round takes several merges from
+    the front, then one Spark job finds the words that hold one of them, cuts
+    these with and without the new merges, and sums by how much that changes
+    the counts of pairs. Only those sums (at most two for each new merge and
+    piece) reach the driver. All pairs are counted at the beginning, and again
+    if fewer frequent ones are left than were ranked.
+
+    Walk down the pairs by (count, smallest ids) and accept until one ends with
+    the left side of an accepted pair, or begins with the right side of one.
+    Up to there, accepted merges change no count of a later pair: merging (a, b)
+    takes from pairs that end with a or begin with b alone. A pair that such a
+    merge creates contains a new id and is no more frequent than the pair it
+    grew from, which ranks lower than all accepted ones, so it cannot come
+    first. If a merge spells a piece that exists already, its pairs gain
+    counts, so the round ends with it.
+
+    ``merges_per_round`` (null: no limit) and ``pairs_kept`` do not change the result.
     """
     spark = lines.sparkSession
-    alphabet = sorted(byte_alphabet().values())
-    pieces = SPECIALS + alphabet
+    alphabet = byte_alphabet()
+    pieces = SPECIALS + sorted(alphabet.values())
     ids = {piece: i for i, piece in enumerate(pieces)}
-    byte_ids = {b: ids[ch] for b, ch in byte_alphabet().items()}
-    merges: list[tuple[str, str]] = []
-
-    words = materialize(_spelled(pre_token_counts(lines), byte_ids), "bpe-words")
-    cached: list[DataFrame] = []  # the last two rewritten tables
-    for turn in count(1):
-        if len(pieces) >= vocab_size:
-            break
-        candidates = _top_pairs(words)
-        for table in cached[:-1]:  # the count above has filled the newer one
-            table.unpersist()
-        del cached[:-1]
-        accepted, used = [], set()
-        for left, right, freq in candidates:
-            if freq < min_frequency or len(pieces) >= vocab_size or len(accepted) == merges_per_round:
+    byte_ids = [ids[alphabet[b]] for b in range(256)]
+    spelled = [b""] * len(SPECIALS) + [bytes([b]) for _, b in sorted((ch, b) for b, ch in alphabet.items())]
+    merges: list[tuple[int, int, int]] = []
+    names: list[tuple[str, str]] = []
+
+    longer = pre_token_counts(lines).filter(F.octet_length("pretoken") > 1)
+    rows = longer.select(F.col("pretoken").cast("binary").alias("word"), "freq")
+    spread = rows.repartition(spark.sparkContext.defaultParallelism, "word")
+    words = materialize(spread, "bpe-words").persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks are read again
+    ranking = None
+    while len(pieces) < vocab_size:
+        if ranking is None:
+            ranking = _Ranking(_pair_changes(words, byte_ids, spelled, merges, len(merges)), pairs_kept)
+        done, lefts, rights, known = len(merges), set(), set(), False
+        while len(pieces) < vocab_size and len(merges) - done != merges_per_round and not known:
+            first = ranking.pop()
+            if first is None:
                 break
-            if left in used or right in used:
+            left, right, freq = first
+            if freq < min_frequency or right in lefts or left in rights:
+                ranking.put_back(left, right, freq)
                 break
-            used.update((left, right))
+            lefts.add(left)
+            rights.add(right)
             joined = pieces[left] + pieces[right]
             known = joined in ids
             if not known:
                 ids[joined] = len(pieces)
                 pieces.append(joined)
-            merges.append((pieces[left], pieces[right]))
-            accepted.append((left, right, ids[joined]))
-            if known:
+                spelled.append(spelled[left] + spelled[right])
+            merges.append((left, right, ids[joined]))
+            names.append((pieces[left], pieces[right]))
+        if len(merges) == done:
+            if ranking.floor < min_frequency:
                 break
-        if not accepted:
-            break
-        word = F.col("word")
-        for left, right, new in accepted:
-            word = F.replace(word, F.lit(f":{left};:{right};"), F.lit(f":{new};"))
-        words = words.select(word.alias("word"), "freq").filter(F.col("word").contains(";:"))
-        if turn % ROUNDS_PER_TABLE == 0:
-            words = materialize(words, "bpe-words")
-        else:
-            cached.append(words.persist(StorageLevel.MEMORY_AND_DISK))
-    for table in cached:
-        table.unpersist()
-    return bpe_model(spark, pieces, merges)
+            ranking = None  # what is above the floor is used up
+        elif known and ranking.floor:
+            ranking = None  # pairs below the floor may have gained
+        elif len(pieces) < vocab_size:
+            ranking.change(_pair_changes(words, byte_ids, spelled, merges, done).toArrow().to_pydict())
+    words.unpersist()
+    return bpe_model(spark, pieces, names)
 
 
 def bpe_model(spark: SparkSession, pieces: list[str], merges: list[tuple[str, str]]) -> BpeModel:

@@ -10,6 +10,7 @@ from bitloom.functions import text as tx
 from bitloom.functions.ngrams import repeated_ngrams, tokenize_13a
 from bitloom.operators import batching, bleu, bpe, counting, coverage, encoding, hooks, lengths, metrics
 from bitloom.operators import segment, selection, vectors
+from bitloom.operators.unseen import train_unseen_words
 from bitloom.plans.storage import materialize, new_path
 from bitloom.sources import files
 from bitloom.sources.tables import bitext_from_turns, load
@@ -18,7 +19,7 @@ from bitloom.streaming import jobs
 PREFIX = "translate Chinese to English: "
 LATIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 HAN = "".join(chr(0x4E00 + i) for i in range(len(LATIN)))  # one Chinese character for each of them
-BPE_SIZE = 320
+BPE_SIZE = 8000
 
 
 # ---- inputs ---------------------------------------------------------------
@@ -225,15 +226,29 @@ def tokenize_ptb(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(tx.tokenize_ptb("text"), " ").alias("tokens"))
 
 
-def segment_zh(spark, sf):
-    """All documents without their spaces, letters and digits as Chinese characters, cut with all their words."""
+def solid_han(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents without their spaces, letters and digits as Chinese characters, and their words with frequencies."""
     han = documents(spark, sf).select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("text"))
     words = han.select(F.lit("zh").alias("lang"), F.regexp_extract_all("text", F.lit(f"[{HAN}]+"), F.lit(0)).alias("tokens"))
     dictionary = materialize(counting.token_counts(words).select(F.col("token").alias("word"), "freq"), "words")
-    solid = han.select("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("line"))
+    return han.select("doc_id", F.regexp_replace("text", r"(?U)\s+", "").alias("line")), dictionary
+
+
+def segment_zh(spark, sf):
+    """All documents, cut with all their words."""
+    solid, dictionary = solid_han(spark, sf)
     return segment.segment_zh(solid, dictionary, "line", max_words=0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def segment_zh_unseen(spark, sf):
+    """All documents, cut with the words that occur three times or more and a model of the others."""
+    solid, words = solid_han(spark, sf)
+    dictionary = words.filter("freq >= 3")
+    model = train_unseen_words(solid, dictionary, "line", rounds=2)
+    rows = segment.segment_zh(solid, dictionary, "line", max_words=0, unseen=model)
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 def tokenize(spark, sf):
     rows = documents(spark, sf).select("doc_id", tx.tokenize("text", "lang", unsupported="ws").alias("tokens"))
     return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
@@ -671,7 +686,8 @@ def register_metric(spark, sf):
 ALL = [
     read_bitext_jsonl, read_rejects, read_splits, corpus_lines, text_sink, save_vocab, vocab_json,
     read_word_vectors, save_bpe, write_encoded, write_metrics,
-    normalize_text, normalize_text_basic, tokenize_ws, tokenize_ptb, segment_zh, tokenize, tokenizer_argument,
+    normalize_text, normalize_text_basic, tokenize_ws, tokenize_ptb, segment_zh, segment_zh_unseen, tokenize,
+    tokenizer_argument,
     seq_length, add_prefix, add_boundaries, truncate_ids, mask_labels, unmask_labels, shift_targets, pad_mask,
     strip_generated, detokenize, bpe_encode, bpe_encode_truncated, bpe_decode, lookup_tokens, lookup_tokens_joined,
     filter_by_length, filter_bpe_length, truncate_bpe_length, length_filter_report, drop_blank_sources,

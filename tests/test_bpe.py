@@ -93,6 +93,29 @@ def test_result_does_not_depend_on_merges_per_round(spark):
     assert one == many
 
 
+def test_result_does_not_depend_on_pairs_kept(spark):
+    lines = corpus(6, 80)
+    few, many = (contents(bpe.train_bpe(lines_frame(spark, lines), 420, pairs_kept=k)) for k in (7, 200_000))
+    assert few == many
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_merges_equal_library(spark, tmp_path, seed):
+    """Short words over few letters: merges overlap, tie, and spell pieces that exist already."""
+    rng = random.Random(seed)
+    lines = [" ".join("".join(rng.choices("abc" if seed else "aab", k=rng.randrange(1, 12))) for _ in range(9)) for _ in range(60)]
+    _, pieces, merges = reference(lines, 500, tmp_path)
+    assert contents(bpe.train_bpe(lines_frame(spark, lines), 500)) == (pieces, merges)
+
+
+def test_merges_in_their_order():
+    """A pair that comes up again after its turn stays, and is merged at its next turn only."""
+    first, second = {(1, 2): [(0, 9)], (3, 4): [(1, 1)]}, {(1, 2): [(0, 9), (2, 8)], (3, 4): [(1, 1)]}
+    assert bpe._merge([1, 2, 3, 4, 2], first) == [9, 1, 2]
+    assert bpe._merge([1, 2, 3, 4, 2], second) == [9, 8]
+    assert bpe._merge([5, 5, 5, 5, 5], {(5, 5): [(0, 6)], (6, 6): [(1, 7)]}) == [7, 5]
+
+
 def test_files_round_trip(spark, trained, tmp_path):
     model, _, _ = trained
     files.save_bpe(model, str(tmp_path / "m"))

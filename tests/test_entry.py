@@ -28,7 +28,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     names = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline", n)}
     assert names - set(entry.oracle_sql()) == {
-        "save_bpe", "segment_zh", "bpe_encode", "bpe_encode_truncated", "train_bpe", "stream_requests"
+        "save_bpe", "segment_zh", "segment_zh_unseen", "bpe_encode", "bpe_encode_truncated", "train_bpe", "stream_requests"
     }
 
 
@@ -61,12 +61,13 @@ def test_registered_bpe_equals_library(spark, tmp_path):
         assert row.ids == ",".join(map(str, [0, *plain.encode(texts[row.doc_id]).ids, 2]))
 
 
-def test_registered_segmentation_keeps_every_character(spark):
+@pytest.mark.parametrize("name", ["segment_zh", "segment_zh_unseen"])
+def test_registered_segmentation_keeps_every_character(spark, name):
     def written(text):
         solid = "".join(text.lower().translate(str.maketrans(LATIN, HAN)).split())
         return "".join(c for c in unicodedata.normalize("NFKC", solid) if c.isprintable() and not c.isspace())
 
-    rows = entry.queries()["segment_zh"](spark, SMALL).collect()
+    rows = entry.queries()[name](spark, SMALL).collect()
     expected = {r.doc_id: written(r.text) for r in documents(spark, SMALL).collect()}
     assert {r.doc_id: r.tokens.replace(" ", "") for r in rows} == expected
 
