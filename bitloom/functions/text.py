@@ -145,9 +145,17 @@ _DETOKENIZE_RULES = [
 ]
 
 
-def tokenize_ptb(col: Column | str) -> Column:
-    """Normalise, lower-case, split by the Penn Treebank word rules; a text may hold several sentences."""
-    return _words(_chain(F.lower(normalize_text(col)), _PTB_RULES))
+def tokenize_ptb(col: Column | str, sentence_ends: Callable[[Column], Column] | None = None) -> Column:
+    """Normalise, lower-case, split by the Penn Treebank word rules; a text may hold several sentences.
+
+    ``sentence_ends`` sets the stops of inner sentences apart (`sentences.sentence_ends` of
+    a trained model); without it, a short list of abbreviations decides.
+    """
+    text = F.lower(normalize_text(col))
+    if sentence_ends is None:
+        return _words(_chain(text, _PTB_RULES))
+    at = _PTB_RULES.index(_SENTENCE_END)
+    return _words(_chain(sentence_ends(_chain(text, _PTB_RULES[:at])), _PTB_RULES[at + 1 :]))
 
 
 def detokenize(tokens: Column | str) -> Column:

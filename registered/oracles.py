@@ -277,6 +277,23 @@ ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {norm('text')} AS text FROM documents",
     "normalize_text_basic": f"SELECT doc_id, {norm('text')} AS text FROM documents",
     "tokenize_ws": f"{DOCS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS INTEGER) AS n FROM toks",
+    "abbreviation_scores": r"""
+WITH words AS (
+    SELECT unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}](?:[\p{L}\p{N}.''’\-]*[\p{L}\p{N}])?\.*|[?!]+')) AS word FROM documents
+), types AS (
+    SELECT lower(regexp_replace(word, '\.+$', '')) AS type, count(*) FILTER (regexp_matches(word, '[^.]\.$')) AS stopped,
+        count(*) FILTER (NOT regexp_matches(word, '[^.]\.$')) AS bare
+    FROM words WHERE NOT regexp_matches(word, '^[?!]') GROUP BY 1
+), total AS (SELECT sum(stopped + bare)::DOUBLE AS n, sum(stopped)::DOUBLE AS stops FROM types
+), likely AS (
+    SELECT type, stopped, bare, length(replace(type, '.', '')) AS letters,
+        stopped * ln(stops / n) + bare * ln(1 - stops / n) AS plain, stopped * ln(0.99::DOUBLE) + bare * ln(1 - 0.99::DOUBLE) AS short
+    FROM types, total WHERE stopped > 0 AND regexp_matches(type, '\p{L}')
+)
+SELECT type, stopped::BIGINT AS stopped, bare::BIGINT AS bare,
+    round(-2 * (plain - short) * exp(-letters) * (length(type) - letters + 1) * pow(letters::DOUBLE, -bare::DOUBLE), 6) + 0 AS score
+FROM likely
+""",
     "tokenize_ptb": f"SELECT doc_id, array_to_string({ptb('text')}, ' ') AS tokens FROM documents",
     "tokenize": f"{DOCS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM toks",
     "tokenizer_argument": f"""{DOCS}, chosen AS (SELECT doc_id, CASE WHEN d.lang = 'fr'

@@ -9,7 +9,7 @@ from bitloom.functions import ids as idf
 from bitloom.functions import text as tx
 from bitloom.functions.ngrams import repeated_ngrams, tokenize_13a
 from bitloom.operators import batching, bleu, bpe, counting, coverage, encoding, hooks, lengths, metrics
-from bitloom.operators import segment, selection, vectors
+from bitloom.operators import segment, selection, sentences, vectors
 from bitloom.operators.unseen import train_unseen_words
 from bitloom.plans.storage import materialize, new_path
 from bitloom.sources import files
@@ -226,6 +226,17 @@ def tokenize_ptb(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(tx.tokenize_ptb("text"), " ").alias("tokens"))
 
 
+def tokenize_ptb_trained(spark, sf):
+    """Sentence ends by a model that is trained on the documents."""
+    ends = sentences.sentence_ends(sentences.train_sentence_model(documents(spark, sf), "text"))
+    return documents(spark, sf).select("doc_id", F.array_join(tx.tokenize_ptb("text", ends), " ").alias("tokens"))
+
+
+def abbreviation_scores(spark, sf):
+    scores = sentences.abbreviation_scores(materialize(sentences.type_counts(documents(spark, sf), "text"), "word-types"))
+    return scores.select("type", "stopped", "bare", F.round("score", 6).alias("score"))
+
+
 def solid_han(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Documents without their spaces, letters and digits as Chinese characters, and their words with frequencies."""
     han = documents(spark, sf).select("doc_id", F.translate(F.lower("text"), LATIN, HAN).alias("text"))
@@ -686,7 +697,7 @@ def register_metric(spark, sf):
 ALL = [
     read_bitext_jsonl, read_rejects, read_splits, corpus_lines, text_sink, save_vocab, vocab_json,
     read_word_vectors, save_bpe, write_encoded, write_metrics,
-    normalize_text, normalize_text_basic, tokenize_ws, tokenize_ptb, segment_zh, segment_zh_unseen, tokenize,
+    normalize_text, normalize_text_basic, tokenize_ws, tokenize_ptb, tokenize_ptb_trained, abbreviation_scores, segment_zh, segment_zh_unseen, tokenize,
     tokenizer_argument,
     seq_length, add_prefix, add_boundaries, truncate_ids, mask_labels, unmask_labels, shift_targets, pad_mask,
     strip_generated, detokenize, bpe_encode, bpe_encode_truncated, bpe_decode, lookup_tokens, lookup_tokens_joined,
