@@ -103,7 +103,7 @@ def test_scores_equal_brute_force(spark):
 
 def test_collocations_and_numbers(spark):
     filler = ["The bird sings.", "Many trees grow tall.", "It rains now.", "When will it stop?"] * 40
-    texts = ["We met on 3. december again."] * 30 + ["He lives in approx. ten rooms. The end."] * 90 + filler
+    texts = ["We met on 3. december again."] * 30 + ["Of rooms he has approx. ten rooms. The end."] * 90 + filler
     texts += ["iPods came in 1990.", "It ended. iPods were gone."] * 5
     model = sentences.train_sentence_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     assert ("3", "december") in {tuple(r) for r in model.collocations.collect()}
