@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators.bpe import MAX_PIECES, BpeModel
-from bitloom.plans.storage import fits, materialize
+from bitloom.plans.storage import fits, materialize, new_path
 
 
 # The characters that Python's str.strip removes.
@@ -18,8 +20,61 @@ WHITESPACE = (
 )
 
 
-def _parsed_lines(lines: DataFrame, src: str, tgt: str) -> DataFrame:
-    """Parse one object per line.
+LINE_BITS = 34  # of a line id, for the number of a line in its file
+SENT_BLOCKS = 2_000_000
+
+
+def numbered_lines(spark: SparkSession, *paths: str, path_number: str | None = None) -> DataFrame:
+    """``line_id, value``: the lines of text files, with ids that do not depend on how Spark cuts the files.
+
+    An id is the number of the file (files of one path in the order of their
+    names, later paths after earlier ones) times 2^34 plus the number of the
+    line in its file, so it keeps the order of the lines; ``path_number`` names
+    a column for the place of the path among ``paths``. Every plan on these
+    rows sees the same ids, whatever the size of a split or the number of
+    cores; files that are added or removed shift the numbers of those behind.
+
+    The lines of each split are counted here, which reads the files once more
+    without parsing them. The counts (one row for each 128 MB or so) go to all
+    tasks if they are at most two million. If the files or the sizes of splits
+    have changed when rows are read, an error is raised instead of wrong ids.
+    """
+    located, placed = [], []
+    for k, path in enumerate(paths):
+        rows = spark.read.text(path).select(
+            "value",
+            F.lit(k).alias("_path"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
+        part = F.shiftright("_at", 33).alias("_part")
+        located.append(rows.withColumn("_part", part))
+        placed.append(
+            rows.groupBy("_path", "_file", "_block", part).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+        )
+    blocks = materialize(_all(placed), "text-blocks")
+    file, before = Window.orderBy("_path", "_file"), Window.partitionBy("_path", "_file").orderBy("_block")
+    earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.shiftleft((F.dense_rank().over(file) - 1).cast("long"), LINE_BITS)  # one row for each split of a file
+    starts = materialize(blocks.select("_path", "_file", "_block", "_part", (number + earlier - F.col("_from")).alias("_shift")), "text-starts")
+    if fits(starts, SENT_BLOCKS):
+        starts = F.broadcast(starts)
+    shift = F.coalesce("_shift", F.raise_error(F.lit("the files or their splits have changed since they were numbered")).cast("long"))
+    joined = _all(located).join(starts, ["_path", "_file", "_block", "_part"], "left")
+    found = [F.col("_path").alias(path_number)] if path_number else []
+    return joined.select((F.col("_at") + shift).alias("line_id"), *found, "value")
+
+
+def _all(tables: Sequence[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
+def _parsed_lines(lines: DataFrame, src: str, tgt: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Parse one object per line; columns ``keep`` stay.
 
     The line is wrapped in a list, so that anything after the object makes it
     invalid instead of being ignored. The outer explode of a one-element array
@@ -35,10 +90,11 @@ def _parsed_lines(lines: DataFrame, src: str, tgt: str) -> DataFrame:
     objects = F.from_json(wrapped, schema, {"allowSingleQuotes": "false"})
     first = F.get("_o", F.lit(0))
     return (
-        lines.select(line.alias("line"))
+        lines.select(*keep, line.alias("line"))
         .filter(F.col("line") != "")
-        .select("line", F.explode_outer(F.array(objects)).alias("_o"))
+        .select(*keep, "line", F.explode_outer(F.array(objects)).alias("_o"))
         .select(
+            *keep,
             "line",
             F.coalesce(braced(F.col("line")) & (F.size("_o") == 1), F.lit(False)).alias("_ok"),
             first[src].alias("src"),
@@ -62,12 +118,11 @@ def read_bitext_jsonl(
 ) -> DataFrame:
     """Pairs of a JSON-lines file; blank and invalid lines are skipped, a missing file raises.
 
-    ``pair_id`` is unique in this table. It follows from how Spark cuts the
-    files, so write the rows once (`plans.storage.materialize`) before two
-    plans use the same ids, as `read_splits` does.
+    ``pair_id`` is the place of the line (`numbered_lines`): unique, ascending
+    in file order, and the same in every plan.
     """
-    rows = bitext_from_lines(spark.read.text(path), src, tgt, require_both)
-    return rows.select(F.monotonically_increasing_id().alias("pair_id"), "src", "tgt")
+    rows = _parsed_lines(numbered_lines(spark, path), src, tgt, ["line_id"]).filter(_accepted(require_both))
+    return rows.select(F.col("line_id").alias("pair_id"), "src", "tgt")
 
 
 def read_rejects(
@@ -77,20 +132,22 @@ def read_rejects(
     return _parsed_lines(spark.read.text(path), src, tgt).filter(~_accepted(require_both)).select("line")
 
 
-def read_splits(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
-    """Several files as one table with a ``split`` column; ``pair_id`` is unique over all splits.
+def read_splits(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    src: str = "zh",
+    tgt: str = "en",
+    require_both: bool = True,
+) -> DataFrame:
+    """Several files as one table with a ``split`` column; ``pair_id`` is unique over all splits, see `numbered_lines`.
 
-    The rows are numbered once and written with their numbers, so that every
-    later plan sees the same ids.
+    The parsed rows are written once, so later plans neither parse nor depend on the files.
     """
-    tables = [
-        read_bitext_jsonl(spark, path, **options).drop("pair_id").withColumn("split", F.lit(name))
-        for name, path in paths.items()
-    ]
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return materialize(result.select(F.monotonically_increasing_id().alias("pair_id"), "src", "tgt", "split"), "splits")
+    names = list(paths)
+    lines = numbered_lines(spark, *paths.values(), path_number="split_number")
+    rows = _parsed_lines(lines, src, tgt, ["line_id", "split_number"]).filter(_accepted(require_both))
+    split = F.array(*[F.lit(n) for n in names])[F.col("split_number")]
+    return materialize(rows.select(F.col("line_id").alias("pair_id"), "src", "tgt", split.alias("split")), "splits")
 
 
 def write_bitext_jsonl(df: DataFrame, path: str, src: str = "zh", tgt: str = "en") -> None:
@@ -110,6 +167,66 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.text(path)
 
 
+def write_plain(lines: DataFrame, order: Sequence[str], path: str) -> None:
+    """One text file, no folder, of the ``line`` column in the order of some columns.
+
+    Tasks write sorted ranges below the shared folder; the driver then strings
+    the finished parts together as streams of bytes, holding none of them, and
+    gives the file its name at the end, so a reader sees all of it or nothing.
+    An existing file raises.
+    """
+    spark = lines.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    target, parts = fs.Path(path), fs.Path(new_path(spark, "plain"))
+    system, shared = target.getFileSystem(conf), parts.getFileSystem(conf)
+    if system.exists(target):
+        raise FileExistsError(path)
+    keys = [F.col(c) for c in order]
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.text(parts.toString())
+    unfinished = fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = system.create(unfinished, False)
+    try:
+        for name in sorted(s.getPath().getName() for s in shared.listStatus(parts) if s.getPath().getName().startswith("part-")):
+            part = shared.open(fs.Path(parts, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    if not system.rename(unfinished, target):
+        raise FileExistsError(path)
+
+
+def _json_string(text: str) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def write_json_map(rows: DataFrame, key: str, value: str, path: str, before: str = "{", after: str = "}") -> None:
+    """One JSON file ``{key: value, ...}`` in the order of the whole numbers ``value``, an entry a line; no row holds it all."""
+    first = rows.agg(F.min(value)).first()[0]
+    comma = F.when(F.col(value) > first, ", ").otherwise("")
+    entries = rows.select(
+        F.lit(1).alias("part"), F.col(value).cast("long").alias("at"), F.concat(comma, _json_string(key), F.lit(": "), F.col(value).cast("string")).alias("line")
+    )
+    ends = rows.sparkSession.createDataFrame([(0, 0, before), (2, 0, after)], "part int, at long, line string")
+    write_plain(entries.unionByName(ends), ["part", "at"], path)
+
+
+def export_vocab_file(vocab: DataFrame, name: str, path: str) -> None:
+    """One language as one plain JSON file ``{"name", "word2idx"}``, in id order, of any size."""
+    write_json_map(vocab, "token", "id", path, f'{{"name": {json.dumps(name)}, "word2idx": {{', "}}")
+
+
+def export_bpe(model: BpeModel, path: str) -> None:
+    """The model as plain files ``vocab.json`` and ``merges.txt`` in a folder, as tokenizer libraries read them."""
+    write_json_map(model.vocab, "piece", "id", f"{path}/vocab.json")
+    # Fixed value: the first line of the merges file.
+    header = model.merges.sparkSession.createDataFrame([(-1, "#version: 0.2")], "rank int, line string")
+    merges = model.merges.select("rank", F.concat_ws(" ", "left", "right").alias("line"))
+    write_plain(header.unionByName(merges), ["rank"], f"{path}/merges.txt")
+
+
 def save_vocab(vocab: DataFrame, path: str) -> None:
     vocab.select("lang", "id", "token", "freq").write.partitionBy("lang").parquet(path)
 
@@ -143,7 +260,7 @@ def import_vocab_json(spark: SparkSession, path: str) -> DataFrame:
 def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """``line_no, token, vector`` from a text file of word vectors.
 
-    Lines without exactly ``dim`` numbers (such as a header, or a line with
+    ``line_no`` ascends in file order, see `numbered_lines`. Lines without exactly ``dim`` numbers (such as a header, or a line with
     something else among them) are skipped, and undecodable bytes are ignored.
     """
     valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
@@ -151,8 +268,8 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     )
     parts = F.split(F.regexp_replace(valid, r"(?U)\s+$", ""), " ")
     return (
-        spark.read.text(path)
-        .select(F.monotonically_increasing_id().alias("line_no"), parts.alias("p"))
+        numbered_lines(spark, path)
+        .select(F.col("line_id").alias("line_no"), parts.alias("p"))
         .filter(F.size("p") == dim + 1)
         .select(
             "line_no", F.col("p")[0].alias("token"), F.transform(F.slice("p", 2, dim), lambda x: x.try_cast("float")).alias("vector")

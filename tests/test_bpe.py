@@ -116,6 +116,18 @@ def test_merges_in_their_order():
     assert bpe._merge([5, 5, 5, 5, 5], {(5, 5): [(0, 6)], (6, 6): [(1, 7)]}) == [7, 5]
 
 
+def test_exported_files_load_in_the_library(spark, trained, tmp_path):
+    model, (_, pieces, merges), lines = trained
+    files.export_bpe(model, str(tmp_path / "m"))
+    assert (tmp_path / "m/merges.txt").read_text(encoding="utf-8").split("\n") == ["#version: 0.2", *map(" ".join, merges), ""]
+    loaded = tokenizers.ByteLevelBPETokenizer(str(tmp_path / "m/vocab.json"), str(tmp_path / "m/merges.txt"))
+    assert loaded.get_vocab() == {p: i for i, p in enumerate(pieces)}
+    rows = bpe.bpe_encode(lines_frame(spark, lines[:30]), model, "line", mode="keep").collect()
+    assert {r.line: r.ids for r in rows} == {t: [0, *loaded.encode(t).ids, 2] for t in lines[:30]}
+    imported = files.import_bpe(spark, str(tmp_path / "m/vocab.json"), str(tmp_path / "m/merges.txt"))
+    assert contents(imported) == contents(model)
+
+
 def test_files_round_trip(spark, trained, tmp_path):
     model, _, _ = trained
     files.save_bpe(model, str(tmp_path / "m"))

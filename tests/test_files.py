@@ -69,6 +69,23 @@ def test_vocab_files(spark, tmp_path):
     assert {(r.lang, r.token, r.id) for r in rows} == {("English", t, i) for t, i in document["word2idx"].items()}
 
 
+def test_plain_files(spark, tmp_path):
+    tokens = ["b", 'quo"te', "é\\", "line\nend", "\u2028", " ", "a,b"] + [f"t{i}" for i in range(3000)]
+    counts = spark.createDataFrame([("en", t, 9000 - i) for i, t in enumerate(tokens)], "lang string, token string, freq long").repartition(5)
+    vocab = counting.build_vocab(counts)
+    path = tmp_path / "vocab.json"
+    files.export_vocab_file(vocab, "English", str(path))
+    document = json.loads(path.read_text(encoding="utf-8"))
+    assert path.is_file() and document["name"] == "English" and list(document["word2idx"])[4:] == tokens
+    assert document["word2idx"] == {r.token: r.id for r in vocab.collect()}
+    assert {(r.token, r.id) for r in files.import_vocab_json(spark, str(path)).collect()} == set(document["word2idx"].items())
+    with pytest.raises(FileExistsError):
+        files.export_vocab_file(vocab, "English", str(path))
+    files.export_vocab_file(vocab.limit(0), "none", str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"name": "none", "word2idx": {}}
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".crc") == ["none.json", "vocab.json"]
+
+
 def test_word_vectors(spark, tmp_path):
     path = tmp_path / "words.vec"
     path.write_bytes(b"3 2\nthe 0.5 -1\nshort 1\nlong 1 2 3\nba\xffd 1 2\nlast 3 4  \n")
@@ -87,6 +104,40 @@ def test_metrics_files(spark, tmp_path):
     assert records == [{"loss": 3.5, "epoch": 0.1}, {"eval_bleu": 11.2, "epoch": 1.0}]
 
 
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+    folder, lines = tmp_path / "in", {}
+    folder.mkdir()
+    for k, name in enumerate(["b.txt", "a.txt", "c.txt", "empty.txt"]):
+        lines[name] = [] if k == 3 else [f"{name} {i} {'é' * (i % 50)}" if i % 7 else "" for i in range(400 - 100 * k)]
+        (folder / name).write_text("\n".join(lines[name]) + "\n" * bool(lines[name] and k), encoding="utf-8")
+    expected = {((k << files.LINE_BITS) + i, line) for k, name in enumerate(["a.txt", "b.txt", "c.txt"]) for i, line in enumerate(lines[name])}
+    # a last line that is empty and has no line end is no line
+    expected = {x for x in expected if x[1] or x[0] != (1 << files.LINE_BITS) + 399}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for bytes_ in ("512", "3000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+            rows = files.numbered_lines(spark, str(folder))
+            assert rows.rdd.getNumPartitions() >= (1 if bytes_ == "128m" else 10)
+            assert {tuple(r) for r in rows.collect()} == expected
+            assert {r.line_id for r in rows.filter("value like 'c.txt%'").collect()} == {k for k, v in expected if v.startswith("c.txt")}
+        old = files.numbered_lines(spark, str(folder))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        with pytest.raises(Exception, match="have changed since"):
+            old.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    both = files.numbered_lines(spark, str(folder / "c.txt"), str(folder / "a.txt"), path_number="p").collect()
+    assert [r.value for r in sorted(both)] == lines["c.txt"] + lines["a.txt"] and {r.p for r in both} == {0, 1}
+
+
+def test_batches_straight_from_the_reader(spark, tmp_path):
+    path = str(tmp_path / "in")
+    files.write_bitext_jsonl(spark.range(900).selectExpr("'s' || id AS src", "'t' AS tgt").repartition(5), path)
+    batches = batching.make_batches(files.read_bitext_jsonl(spark, path), 16)
+    assert batches.select("src").distinct().count() == batches.count() == 900
+
+
 def test_split_ids_are_unique_and_stay(spark, tmp_path):
     paths = {}
     for name in ("train", "test"):
