@@ -98,11 +98,14 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
-@F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
-def _counts(texts: pa.Array) -> pa.Array:
-    rows = [counts_of(t) for t in texts.to_pylist()]
-    columns = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
+def _counts(text: str) -> Column:
+    @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
+    def counts(texts: pa.Array) -> pa.Array:
+        rows = [counts_of(t) for t in texts.to_pylist()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
+
+    return counts(text)
 
 
 def text_counts(df: DataFrame, id_col: str, text_col: str, stratum: Column) -> DataFrame:
