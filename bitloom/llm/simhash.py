@@ -225,6 +225,16 @@ def hamming_links(prints: DataFrame, budget: int) -> DataFrame:
     return links
 
 
+def _roots(rows: DataFrame, budget: int) -> DataFrame:
+    """``fingerprint, root`` of the fingerprints of ``rows``, equal fingerprints being one node; written."""
+    prints = materialize(rows.select("fingerprint").distinct(), "prints")
+    links = hamming_links(prints, budget)
+    if links is None:
+        return prints.withColumn("root", F.col("fingerprint"))
+    member = components(links).withColumnRenamed("node", "fingerprint")
+    return materialize(prints.join(member, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 3) -> DataFrame:
     """``id_col, fingerprint (long), component_id``: groups of documents whose fingerprints are linked.
 
@@ -235,29 +245,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns are not read.
     """
     rows = materialize(docs.select(F.col(id_col).alias("id"), simhash(text_col, shingle).alias("fingerprint")), "fingerprints")
-    prints = materialize(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "prints")
-    links = hamming_links(prints.select("fingerprint"), budget)
-    if links is None:
-        return rows.select(F.col("id").alias(id_col), "fingerprint", F.col("id").alias("component_id"))
-    member = components(links).withColumnRenamed("node", "fingerprint")
-    rooted = materialize(
-        prints.join(member, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "rooted"
-    )
+    least = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    rooted = materialize(_roots(rows, budget).join(least, "fingerprint"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = materialize(rooted.join(smallest, "root").select("fingerprint", "component_id"), "groups")
     return rows.join(found, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id leads its group; all columns stay.
+    """One row of each group of documents whose fingerprints are linked; all columns stay.
 
-    A group's leader is the document with its smallest id; rows that repeat an
-    id give one. Rows without an id cannot be told apart and stay.
+    The row with the smallest id stays, among equal ids the one with the
+    smallest hash of its text (128 bits). Rows that repeat both id and text give
+    one. Different texts under one id are documents of their own. A null id
+    comes after all others. An empty table stays empty. Whole rows are shuffled
+    once; what decides is a table of ids and hashes.
     """
-    groups = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle, budget)
-    leaders = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(leaders, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    key = {"_h": F.xxhash64(F.lit(1), text_col), "_g": F.xxhash64(F.lit(2), text_col)}
+    rows = docs.select(F.col(id_col).alias("_id"), *[c.alias(n) for n, c in key.items()], simhash(text_col, shingle).alias("fingerprint"))
+    rows = materialize(rows, "fingerprints")
+    named = F.struct(F.col("_id").isNull(), "_id", "_h", "_g")
+    first = rows.join(_roots(rows, budget), "fingerprint").groupBy("root").agg(F.min(named).alias("_first")).select("_first.*")
+    leaders = materialize(first.select(F.col("_id"), "_h", "_g"), "leaders")
+    same = (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_own_h") == F.col("_h")) & (F.col("_own_g") == F.col("_g"))
+    marked = docs.withColumns({f"_own{n}": c for n, c in key.items()})
+    kept = marked.join(leaders, same, "left_semi").dropDuplicates([id_col, "_own_h", "_own_g"])
+    return kept.select(*docs.columns)
 
 
 def _words(text: bytes) -> bytes:

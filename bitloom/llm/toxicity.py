@@ -154,15 +154,19 @@ def train(
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """Add ``out``: the probability (0 to 1) that a whole text is toxic; null texts count as empty.
 
-    The model (60³ numbers and at most some thousand weights) is broadcast.
+    The model (60³ numbers and at most some thousand weights) is broadcast, as
+    plain arrays and names: executors may lack the classes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.letters, model.weights, model.bias))
+    made: list[tuple[ToxicityModel, Restorer]] = []
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        known = shared.value
-        restore = Restorer(known.letters)
-        z = np.array([known.logit(restore(text or "")) for text in texts.to_pylist()])
+        if not made:
+            made.append((ToxicityModel(*shared.value), Restorer(shared.value[0])))
+        known, restore = made[0]
+        # as_py one by one: a batch holds megabytes of text
+        z = np.array([known.logit(restore(text.as_py() or "")) for text in texts])
         return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
 
     return docs.withColumn(out, scores(F.col(text_col)))
