@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 or more of their sequences of five words."""
-    return simhash.keep_dissimilar(docs)
+    """One document of each group of `op5`: sequences of three words, fingerprints within two bits."""
+    return simhash.keep_one(docs, shingle=3, budget=2)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
