@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with a published vocabulary.
 
-The bytes of a piece are read as Latin-1 so that an Aho-Corasick automaton over
-all tokens lists the tokens that start at each place. Encoding takes the longest
-token that is compatible with the one before it and steps back where nothing
-fits. Two tokens are compatible if merging would keep them apart, which depends
-on the two alone and is remembered. Every prefix has one encoding, so a place
-that had to be left is never tried again and the work is linear in the piece.
+The bytes of a piece are read as Latin-1, so that an Aho-Corasick automaton over
+all tokens lists the longest tokens one after another. Encoding follows that list
+as long as each token is compatible with the one before it. Where one is not, it
+takes the next shorter token, or steps back where none fits, and has the automaton
+go on from there. Two tokens are compatible if merging would keep them apart,
+which depends on the two alone and is remembered. Every prefix has one encoding,
+so a place that had to be left is never tried again and the work is linear in the
+piece. (The idea of deciding by adjacent pairs is that of the public `bpe` crate.)
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.arrow import lists_of, slices
 
-REMEMBERED = 400_000  # words, pieces and token pairs a worker keeps; a full memory is emptied, results do not change
+REMEMBERED = 200_000  # words or pieces in a generation of a worker's memory; results do not depend on it
+PAIRS = 400_000  # token pairs it keeps
+DOOR = 1 << 21
 MARKS = ".,;:!?"
 OTHER_SCRIPTS = "\u0250"  # letters before it have been letters in every Unicode version
 LONG_PIECE = 64  # characters beyond which a piece is not remembered
@@ -75,6 +79,24 @@ def merge_table(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return tokens, left, right
 
 
+class Memory:
+    """Encodings of what was met twice or more, in two generations: when the younger is full it becomes the older."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.door = bytearray(DOOR)  # marks of what was met once
+
+    def put(self, key: str, ids: bytes) -> None:
+        place = hash(key) % DOOR
+        if key not in self.old and not self.door[place]:
+            self.door[place] = 1
+            return
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young, self.door = self.young, {}, bytearray(DOOR)
+        self.young[key] = ids
+
+
 class Encoder:
     """Encodes texts; one per Python worker."""
 
@@ -90,11 +112,9 @@ class Encoder:
         for token, rank in self.made.items():
             self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
-        self.most = max(self.length)
         self.shorter = [self._prefix(token) for token in self.whole]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known_pieces: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.known_pieces, self.known_words = Memory(), Memory()
 
     def _prefix(self, token: str) -> int:
         """The longest token that merging makes and that starts ``token``, -1 if there is none."""
@@ -135,7 +155,7 @@ class Encoder:
                 a = self.right[a]
 
     def _remember(self, pair: tuple[int, int]) -> bool:
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         found = self.pairs[pair] = self._compatible(*pair)
         return found
@@ -145,18 +165,12 @@ class Encoder:
         if piece in self.whole:
             return [self.whole[piece]]
         length, shorter, n = self.length, self.shorter, len(piece)
-        made, reach, most = self.made.get, self.automaton.longest_prefix, self.most
-        pairs, left_behind = self.pairs, set()
+        longest, pairs, left_behind = self.automaton.iter_long, self.pairs, set()
         out: list[int] = []
-        place, last, token = 0, -1, None
+        place, last = 0, -1
+        ahead = longest(piece)  # longest tokens one after another, as long as each is taken
+        token = next(ahead)[1]
         while True:
-            if token is None:  # the longest token that starts here; paths of the automaton may run past its end
-                ahead = piece[place : place + most]
-                size = reach(ahead)
-                token = made(ahead[:size])
-                while token is None:
-                    size -= 1
-                    token = made(ahead[:size])
             end = place + length[token]
             if end not in left_behind:
                 fits = last < 0 or pairs.get((last, token))
@@ -166,9 +180,12 @@ class Encoder:
                     out.append(token)
                     if end == n:
                         return out
-                    place, last, token = end, token, None
+                    place, last = end, token
+                    if ahead is None:
+                        ahead = longest(piece, place)
+                    token = next(ahead)[1]
                     continue
-            token = shorter[token]
+            ahead, token = None, shorter[token]
             while token < 0:  # nothing fits here: step back
                 left_behind.add(place)
                 token = out.pop()
@@ -178,9 +195,8 @@ class Encoder:
 
     def _encode_pieces(self, text: str) -> bytes:
         """The ids of all pieces of ``text`` as 32-bit integers."""
-        known = self.known_pieces
         pieces = self.pieces(text)
-        found = list(map(known.get, pieces))
+        found = list(map(self.known_pieces.young.get, pieces))
         for i, ids in enumerate(found):
             if ids is None:
                 found[i] = self._piece(pieces[i])
@@ -188,24 +204,44 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         known = self.known_pieces
-        ids = known.get(piece)
+        ids = known.young.get(piece)
         if ids is None:
-            latin = piece if piece.isascii() else piece.encode().decode("latin-1")
-            ids = array("i", self.encode_piece(latin)).tobytes()
+            ids = known.old.get(piece)
+            if ids is None:
+                latin = piece if piece.isascii() else piece.encode().decode("latin-1")
+                ids = array("i", self.encode_piece(latin)).tobytes()
             if len(piece) <= LONG_PIECE:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[piece] = ids
+                known.put(piece, ids)
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """A word after a lone space that is not among the younger ones."""
+        known = self.known_words
+        ids = known.old.get(word)
+        if ids is None:
+            ids = self._encode_word(word)
+        if len(word) <= LONG_PIECE:
+            known.put(word, ids)
+        return ids
+
+    def _start(self, word: str, space: str) -> bytes:
+        """A word after ``space`` or a line end: letters are one piece, a mark after them another; anything else is cut by the pattern."""
+        if word.isascii() or (word and max(word) < OTHER_SCRIPTS):
+            if word.isalpha():
+                return self._piece(space + word)
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self._piece(space + word[:-1]) + self._piece(word[-1])
+        return self._encode_pieces(space + word)
+
     def _encode_word(self, word: str) -> bytes:
-        """A word after a lone space: letters are one piece, a mark after them another; anything else is cut by the pattern."""
-        if word.isalpha():
-            if max(word) < OTHER_SCRIPTS:
-                return self._piece(" " + word)
-        elif word[-1] in MARKS and word[:-1].isalpha() and max(word) < OTHER_SCRIPTS:
-            return self._piece(" " + word[:-1]) + self._piece(word[-1])
-        return self._encode_pieces(" " + word)
+        """A word after a lone space; a single line end within it is a piece, so what stands around it is encoded by itself."""
+        if "\n" not in word:
+            return self._start(word, " ")
+        lines = word.split("\n")
+        if not all(lines) or word.split() != lines:
+            return self._encode_pieces(" " + word)
+        known, first = self.known_words.young, lines[0]
+        return self._piece("\n").join([known.get(first) or self._word(first), *[self._start(line, "") for line in lines[1:]]])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers.
@@ -215,17 +251,11 @@ class Encoder:
         """
         if not self.by_words or AROUND_SPACE(text):
             return self._encode_pieces(text)
-        known = self.known_words
         first, *words = text.split(" ")
-        found = list(map(known.get, words))
+        found = list(map(self.known_words.young.get, words))
         for i, ids in enumerate(found):
             if ids is None:
-                word = words[i]
-                found[i] = ids = self._encode_word(word)
-                if len(word) <= LONG_PIECE:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
+                found[i] = self._word(words[i])
         return self._encode_pieces(first) + b"".join(found)
 
 
@@ -253,7 +283,7 @@ class ByteBpe:
             if "encoder" not in known:
                 known["encoder"] = Encoder(known["tokens"], known["left"], known["right"], known["pattern"])
             encoder = known["encoder"]
-            found = [encoder.encode(text or "") for text in texts.to_pylist()]
+            found = [encoder.encode(text.as_py() or "") for text in texts]
             return lists_of(np.frombuffer(b"".join(found), np.int32), np.array([len(ids) // 4 for ids in found], np.int64))
 
         return encode(F.col(text) if isinstance(text, str) else text)
