@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators.batching import hash_number
+from bitloom.plans.ranking import global_rank
 
 
 def topk_candidates(
@@ -13,9 +14,15 @@ def topk_candidates(
 ) -> DataFrame:
     """The ``k`` best-scoring candidates per source, ties by candidate order.
 
-    The limit on the row number is applied inside each partition before the
-    shuffle, so a source with very many candidates sends ``k`` rows per task.
+    Up to a ``k`` of ``spark.sql.optimizer.windowGroupLimitThreshold`` the limit
+    is applied inside each partition before the shuffle, so a source with very
+    many candidates sends ``k`` rows per task. Beyond, rows are ranked by range
+    partitioning, which spreads one source over many tasks.
     """
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        order = [F.desc(score), F.col(cand)]
+        ranked = global_rank(df, order, [key], "rank").filter(F.col("rank") <= k)
+        return ranked.withColumn("rank", F.col("rank").cast("int"))
     best = Window.partitionBy(key).orderBy(F.desc(score), F.col(cand))
     return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ size on which to choose a join.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, taken from the session's settings.
 
     ``spark.checkpoint.dir`` or the context's checkpoint folder; a session that
-    names neither keeps them in its warehouse, which its executors share too.
+    names neither keeps them in its warehouse, unless that is a folder of one
+    machine and the session runs on several.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if re.match(r"file:|/", warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/intermediate"
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -32,8 +39,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_named: dict[str, list[str]] = {}  # catalog tables by application
+
+
+def remember_table(spark: SparkSession, name: str) -> None:
+    """Have `drop_intermediate` drop a catalog table whose files lie among the intermediate ones."""
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result needs them any more."""
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -253,8 +253,24 @@ NUMBERED = f"""{ENGLISH}, dex AS (SELECT doc_id, unnest(tokens) AS token, genera
 num AS (SELECT doc_id, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY pos) AS ids
         FROM dex LEFT JOIN voc v ON v.token = dex.token GROUP BY 1)
 SELECT d.doc_id, coalesce(num.ids, '') AS ids FROM documents d LEFT JOIN num ON num.doc_id = d.doc_id"""
-NOISE = f"""list_transform(range(0, 64), lambda d: 0.6 * sqrt(-2 * ln(({h60('1', 'id', 'd', "'r'")} + 1)::DOUBLE / 1152921504606846976.0))
-    * cos(2 * pi() * ({h60('1', 'id', 'd', "'a'")}::DOUBLE / 1152921504606846976.0)))"""
+
+
+def mixed(source: str, value: str, out: str) -> str:
+    """Five steps of 31-bit mixing, a subquery each."""
+    steps = f"SELECT *, xor(x0, x0 >> 15) AS x1 FROM (SELECT *, ({value})::BIGINT AS x0 FROM {source})"
+    steps = f"SELECT *, (x1 * 739982445) & 2147483647 AS x2 FROM ({steps})"
+    steps = f"SELECT *, (xor(x2, x2 >> 12) * 695872825) & 2147483647 AS x3 FROM ({steps})"
+    return f"SELECT * EXCLUDE (x0, x1, x2, x3), xor(x3, x3 >> 15) AS {out} FROM ({steps})"
+
+
+NOISE = f"""m1 AS ({mixed('voc', '1', 'a1')}), m2 AS ({mixed('m1', 'xor(a1, id & 2147483647)', 'a2')}),
+m3 AS ({mixed('m2', 'xor(a2, (id::BIGINT >> 31) & 2147483647)', 'a3')}),
+m4 AS ({mixed('(SELECT id, a3, unnest(range(64)) AS d FROM m3)', 'xor(a3, d)', 'u')}),
+pairs_of AS (
+    SELECT id, d // 2 AS p, sqrt(-2 * ln((max(u) FILTER (d % 2 = 0) + 1)::DOUBLE / 2147483648.0)) AS r,
+        2 * pi() * (max(u) FILTER (d % 2 = 1)::DOUBLE / 2147483648.0) AS t
+    FROM m4 GROUP BY 1, 2
+), noises AS (SELECT id, flatten(list([0.6 * (r * cos(t)), 0.6 * (r * sin(t))] ORDER BY p)) AS noise FROM pairs_of GROUP BY 1)"""
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+""".replace("'", "''")
 KNOWN = f"""{PAIRS} SELECT pair_id, '<sos> ' || array_to_string(src_known, ' ') ||
     CASE WHEN len(src_known) > 0 THEN ' ' ELSE '' END || '<eos>' AS tokens FROM pids"""
@@ -271,6 +287,7 @@ ORACLES: dict[str, str] = {
     "text_sink": f"{PAIRS} SELECT unnest(string_split(line, chr(10))) AS line FROM ({TWO_LINES})",
     "save_vocab": f"{PAIRS} SELECT lang, id, token, freq FROM voc",
     "vocab_json": f"{PAIRS} SELECT lang, id, token FROM voc WHERE lang = 'src'",
+    "vocab_file": f"{PAIRS} SELECT lang, id, token FROM voc WHERE lang = 'src'",
     "read_word_vectors": f"{ENGLISH} SELECT token, {micro('embedding')} AS vector FROM vecs",
     "write_encoded": f"{PAIRS} SELECT {SPLIT} AS split, pair_id, {IDS} FROM pids",
     "write_metrics": f"{LOG} SELECT * FROM epochs",
@@ -328,10 +345,10 @@ FROM likely
     "drop_blank_sources": "SELECT conv_id, turn, text AS src FROM conversations WHERE length(text) > 60",
     "numericalize": NUMBERED,
     "numericalize_joined": NUMBERED,
-    "align_vectors": f"""{ENGLISH} SELECT id, voc.token, vecs.token IS NOT NULL AS hit, {micro(f'''CASE WHEN id = 0
+    "align_vectors": f"""{ENGLISH}, {NOISE} SELECT id, voc.token, vecs.token IS NOT NULL AS hit, {micro(f'''CASE WHEN id = 0
         THEN list_transform(range(0, 64), lambda d: 0.0::DOUBLE) WHEN vecs.token IS NOT NULL
-        THEN list_transform(embedding, lambda x: x::DOUBLE) ELSE {NOISE} END''')} AS vector
-        FROM voc LEFT JOIN vecs ON vecs.token = voc.token""",
+        THEN list_transform(embedding, lambda x: x::DOUBLE) ELSE noise END''')} AS vector
+        FROM voc JOIN noises USING (id) LEFT JOIN vecs ON vecs.token = voc.token""",
     "vector_hit_stats": f"""{ENGLISH} SELECT count(*) AS vocab_size, count(vecs.token) AS hits,
         round(count(vecs.token) / count(*), 6) AS hit_rate FROM voc LEFT JOIN vecs ON vecs.token = voc.token""",
     "align_hyp_ref": f"{HYP} SELECT sent_id, hyp, ref FROM hyps",
@@ -433,6 +450,7 @@ FROM likely
     "stream_encode": f"""{PAIRS} SELECT src, tgt, {IDS} FROM pids JOIN pairs USING (pair_id)
         WHERE len(src_ids) <= 128 AND len(tgt_ids) <= 128""",
     "stream_token_counts": f"{PAIRS} SELECT lang, token, freq FROM cnt",
+    "stream_count_changes": f"{PAIRS} SELECT lang, token, freq FROM cnt",
     "map_batches": f"""{PAIRS} SELECT pair_id, '{PREFIX}' || src AS request,
         len(string_split('{PREFIX}' || src, ' ')) AS n_words FROM pairs""",
     "register_metric": bleu(
@@ -440,4 +458,10 @@ FROM likely
             regexp_replace(ref, '^\s+|\s+$', '', 'g') AS ref FROM hyps)""",
         "stripped",
     ) + ", 'bleu' AS metric FROM parts",
+    "register_metric_by": bleu(
+        f"""{HYP}, stripped AS (SELECT sent_id, regexp_replace(hyp, '^\\s+|\\s+$', '', 'g') AS hyp,
+            regexp_replace(ref, '^\\s+|\\s+$', '', 'g') AS ref, {split_of('sent_id')} AS split FROM hyps)""",
+        "stripped",
+        "split",
+    ) + ", 'bleu' AS metric FROM parts",
 }

@@ -9,7 +9,7 @@ from bitloom.functions import ids as idf
 from bitloom.functions import text as tx
 from bitloom.functions.ngrams import repeated_ngrams, tokenize_13a
 from bitloom.operators import batching, bleu, bpe, counting, coverage, encoding, hooks, lengths, metrics
-from bitloom.operators import segment, selection, sentences, vectors
+from bitloom.operators import segment, selection, sentences, sketches, vectors
 from bitloom.operators.unseen import train_unseen_words
 from bitloom.plans.storage import materialize, new_path
 from bitloom.sources import files
@@ -187,6 +187,18 @@ def read_word_vectors(spark, sf):
     return files.read_word_vectors(spark, path, 64).select("token", micro("vector").alias("vector"))
 
 
+def vocab_file(spark, sf):
+    path = new_path(spark, "vocab-file") + ".json"
+    files.export_vocab_file(side_vocab(spark, sf).filter("lang = 'src'"), "src", path)
+    return files.import_vocab_json(spark, path).select("lang", "id", "token")
+
+
+def export_bpe(spark, sf):
+    path = new_path(spark, "bpe-files")
+    files.export_bpe(bpe_trained(spark, sf), path)
+    return files.import_bpe(spark, f"{path}/vocab.json", f"{path}/merges.txt").merges
+
+
 def save_bpe(spark, sf):
     path = new_path(spark, "bpe")
     files.save_bpe(bpe_trained(spark, sf), path)
@@ -379,6 +391,23 @@ def truncate_bpe_length(spark, sf):
     return cut.select("pair_id", joined("tgt_ids").alias("tgt_ids"))
 
 
+def bpe_lengths(spark, sf) -> DataFrame:
+    """BPE lengths of both sides with their boundaries."""
+    rows = bpe.bpe_encode(bitext(spark, sf), bpe_trained(spark, sf), "src", mode="keep", out="src_ids")
+    rows = bpe.bpe_encode(rows, bpe_trained(spark, sf), "tgt", mode="keep", out="tgt_ids")
+    return rows.select("pair_id", tx.seq_length("src_ids").alias("src_len"), tx.seq_length("tgt_ids").alias("tgt_len"))
+
+
+def bpe_length_stats(spark, sf):
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_len").alias("len")) for s in ("src", "tgt")])
+    rows = lengths.length_stats(bpe_lengths(spark, sf).select(F.inline(sides)), "len", ["side"])
+    return rows.withColumn("mean", F.round("mean", 6))
+
+
+def bpe_suggest_max_len(spark, sf):
+    return lengths.suggest_max_len(bpe_lengths(spark, sf), "src_len", "tgt_len")
+
+
 def length_filter_report(spark, sf):
     return lengths.length_filter_report(pair_tokens(spark, sf).withColumn("split", split_of(F.col("pair_id"))), 128)
 
@@ -483,6 +512,21 @@ def length_stats_approx(spark, sf):
     return rows.withColumn("mean", F.round("mean", 6))
 
 
+def length_sketches(spark, sf):
+    """Length reports of languages, and of all, from one summary for each language and source."""
+    rows = load(spark, sf, "documents").select("lang", "source", tx.seq_length(tx.tokenize_ws("text")).alias("len"))
+    parts = materialize(sketches.length_summary(rows, "len", ["lang", "source"]), "length-summaries")
+    own = sketches.length_report(sketches.merge_length_summaries(parts, ["lang"]), ["lang"])
+    whole = sketches.length_report(sketches.merge_length_summaries(parts)).withColumn("lang", F.lit("all"))
+    return own.unionByName(whole)
+
+
+def frequent_tokens(spark, sf):
+    """Frequent tokens of each language from summaries of a bounded number of counters."""
+    parts = sketches.token_summary(doc_tokens(spark, sf), by=["lang"])
+    return sketches.frequent_tokens(parts, 20, ["lang"])
+
+
 def length_histogram(spark, sf):
     rows = lengths.length_histogram(_doc_lengths(spark, sf), "len", 50, ["lang"])
     return rows.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
@@ -661,6 +705,15 @@ def stream_token_counts(spark, sf):
     return table.join(table.agg(F.max("batch").alias("batch")), "batch", "left_semi").select("lang", "token", "freq")
 
 
+def stream_count_changes(spark, sf):
+    """The same counts, of which each micro-batch stores what it has changed."""
+    sink, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    lines = files.corpus_lines(jobs.stream_bitext(spark, _pair_folder(spark, sf)).withColumn("pair_id", F.lit(0)))
+    tokens = lines.select(F.col("side").alias("lang"), tx.tokenize_ws("line").alias("tokens"))
+    _run(jobs.publish_changes(jobs.stream_token_counts(tokens), sink, state))
+    return jobs.read_published(spark, sink)
+
+
 def stream_requests(spark, sf):
     sink, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
     stream = jobs.stream_bitext(spark, _pair_folder(spark, sf)).select("src")
@@ -694,6 +747,15 @@ def register_metric(spark, sf):
     return _rounded_bleu(scored)
 
 
+def register_metric_by(spark, sf):
+    """The same for each split of the corpus."""
+    model = bpe_trained(spark, sf)
+    rows = hypotheses(spark, sf).withColumn("split", split_of(F.col("sent_id")))
+    rows = bpe.bpe_encode(bpe.bpe_encode(rows, model, "hyp", mode="keep", out="preds"), model, "ref", mode="keep", out="labels")
+    metrics.register_metric("bleu", metrics.bleu_metric(model))
+    return _rounded_bleu(metrics.compute_metric("bleu", rows.select("sent_id", "split", "preds", "labels"), ["split"]))
+
+
 ALL = [
     read_bitext_jsonl, read_rejects, read_splits, corpus_lines, text_sink, save_vocab, vocab_json,
     read_word_vectors, save_bpe, write_encoded, write_metrics,
@@ -709,7 +771,8 @@ ALL = [
     epoch_metrics, coverage_curve, coverage_view, rank_frequency, coverage_guides, running_best, best_epoch,
     make_batches, make_batches_shuffled, length_bucketed_batches, pad_batch, padding_waste, total_padding_waste,
     topk_candidates, sample_predictions, first_prediction,
-    stream_encode, stream_token_counts, stream_requests, map_batches, register_metric,
+    stream_encode, stream_token_counts, stream_count_changes, stream_requests, map_batches, register_metric, register_metric_by,
+    vocab_file, export_bpe, length_sketches, frequent_tokens, bpe_length_stats, bpe_suggest_max_len,
 ]
 
 QUERIES = {fn.__name__: fn for fn in ALL} | {"repeated_ngrams": repeated}

@@ -15,7 +15,8 @@ SMALL = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
 CHECKED = [
     "tokenize_ws", "token_counts", "build_vocab", "coverage_size", "coverage_curve", "length_histogram", "numericalize",
-    "pad_batch", "make_batches_shuffled", "corpus_bleu", "tokenize_ptb", "detokenize", "word_evaluation", "bpe_decode", "align_vectors", "read_rejects", "running_best",
+    "pad_batch", "make_batches_shuffled", "corpus_bleu", "tokenize_ptb", "detokenize", "word_evaluation", "bpe_decode", "align_vectors",
+    "abbreviation_scores", "vocab_file", "stream_count_changes", "register_metric_by", "read_rejects", "running_best",
 ]
 
 
@@ -28,7 +29,8 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     names = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline", n)}
     assert names - set(entry.oracle_sql()) == {
-        "save_bpe", "segment_zh", "segment_zh_unseen", "tokenize_ptb_trained", "bpe_encode", "bpe_encode_truncated", "train_bpe", "stream_requests"
+        "save_bpe", "segment_zh", "segment_zh_unseen", "tokenize_ptb_trained", "bpe_encode", "bpe_encode_truncated", "train_bpe",
+        "stream_requests", "export_bpe", "length_sketches", "frequent_tokens", "bpe_length_stats", "bpe_suggest_max_len",
     }
 
 
@@ -72,6 +74,26 @@ def test_registered_segmentation_keeps_every_character(spark, name):
     assert {r.doc_id: r.tokens.replace(" ", "") for r in rows} == expected
 
 
+def test_bpe_lengths_are_those_of_the_ids(spark):
+    ids = entry.queries()["bpe_encode_truncated"](spark, SMALL).collect()
+    stats = {r.side: r for r in entry.queries()["bpe_length_stats"](spark, SMALL).collect()}
+    best = entry.queries()["bpe_suggest_max_len"](spark, SMALL).first()
+    lengths = [min(128, r.ids.count(",") + 1) for r in ids]
+    assert stats["src"].n == len(ids) and min(128, stats["src"].max) == max(lengths) and stats["src"].min == min(lengths)
+    assert best.global_max == max(r.max for r in stats.values()) >= best.suggested
+
+
+def test_summaries_equal_exact_results(spark):
+    """The documents of a small folder are few enough for exact summaries of frequent tokens."""
+    exact = {(r.lang, r.token): r.freq for r in entry.queries()["token_counts"](spark, SMALL).collect()}
+    found = entry.queries()["frequent_tokens"](spark, SMALL).collect()
+    assert found and all(abs(r.freq - exact[r.lang, r.token]) <= 0.01 * exact[r.lang, r.token] for r in found)
+    stats = {r.lang: r for r in entry.queries()["length_stats"](spark, SMALL).collect()}
+    sketched = {r.lang: r for r in entry.queries()["length_sketches"](spark, SMALL).collect()}
+    assert sketched["all"].n == sum(r.n for r in stats.values()) and sketched.keys() == {*stats, "all"}
+    assert all((sketched[k].n, sketched[k].min, sketched[k].max) == (r.n, r.min, r.max) for k, r in stats.items())
+
+
 @pytest.mark.parametrize("name", ["tokenize_ws", "token_counts", "numericalize", "make_batches", "pad_batch", "corpus_bleu"])
 def test_tables_are_not_dealt_anew(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from bitloom.plans import storage
 
 
@@ -27,10 +29,31 @@ def test_without_a_folder_the_warehouse_is_used():
     assert storage.shared_dir(Session()) == "hdfs:///warehouse/intermediate"
 
 
+def test_a_folder_of_one_machine_is_no_shared_folder():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}.get(name, default)
+
+    with pytest.raises(ValueError, match="all executors share"):
+        storage.shared_dir(Session())
+
+
 def test_drop_intermediate(spark):
     path = storage.new_path(spark, "gone")
     storage.materialize(spark.range(3).toDF("x"), "gone")
+    spark.range(3).write.option("path", storage.new_path(spark, "named")).saveAsTable("some_named_table")
+    storage.remember_table(spark, "some_named_table")
     folder = os.path.dirname(path)
     assert os.path.isdir(folder)
     storage.drop_intermediate(spark)
-    assert not os.path.exists(folder)
+    assert not os.path.exists(folder) and not spark.catalog.tableExists("some_named_table")
