@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.plans.storage import new_path
+from bitloom.plans.storage import new_path, remember_table
 
 KEYS_PER_BUCKET = 2_000_000
 U = np.uint64
@@ -49,14 +49,10 @@ def keep_bucketed(batches: DataFrame, label: str, buckets: int) -> DataFrame:
     name = f"{label}_{uuid.uuid4().hex}"
     writer = batches.write.bucketBy(buckets, "batch").option("path", new_path(spark, label)).option("compression", "zstd")
     writer.saveAsTable(name)
+    remember_table(spark, name)
     return spark.table(name)
 
 
-def drop_bucketed(table_names: list[str], spark) -> None:
-    for name in table_names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def batch_numbers() -> Callable[[], int]:
     """Numbers that are unique over the tasks of a job whose result is written once."""
     from pyspark import TaskContext
