@@ -18,7 +18,8 @@ COMMON = (
     "au avec dans de du elle en est et il la le les pas pour que qui sur un une "
     "como con del el es las los no por se su y"
 ).split()
-SKIPPED = 8  # common words that may stand between the words of a chain
+SKIPPED = 8  # common words in a row up to which one look-ahead finds a chain
+SPACE = r"\x20\x09-\x0D"
 
 
 def _alternatives(words: Sequence[str]) -> str:
@@ -41,6 +42,27 @@ def _pattern(common: Sequence[str], chain: int) -> str:
     return rf"(?<![^\x20\x09-\x0D])(?=({word}[\x20\x09-\x0D]++" + r"[\x20\x09-\x0D]++".join([skip + content] * chain) + "))"
 
 
+def _long_runs(low: Column, common: Sequence[str], chain: int) -> Column:
+    """Hashes of the signatures of a text with more than ``SKIPPED`` common words in a row.
+
+    The text is read once as runs of common words, each with the content word
+    that ends it; all anchors of a run begin the same chain. Linear in the text,
+    whatever the runs.
+    """
+    word = _alternatives(common) + rf"(?![^{SPACE}])"
+    block = F.lit(rf"(?<![^{SPACE}])((?:{word}[{SPACE}]++)*+)((?!{word})[^{SPACE}]++)")
+    contents = F.regexp_extract_all(low, block, 2)
+    later = [F.slice(contents, k + 1, F.size(contents)).alias(f"c{k}") for k in range(1, chain)]
+    rows = F.arrays_zip(F.regexp_extract_all(low, block, 1).alias("run"), contents.alias("c0"), *later)
+
+    def of_run(row: Column) -> Column:
+        anchors = F.array_distinct(F.filter(F.split(row["run"], rf"[{SPACE}]+"), lambda a: a != ""))
+        made = F.transform(anchors, lambda a: F.hash(F.concat_ws(" ", a, *[row[f"c{k}"] for k in range(chain)])))
+        return F.when(row[f"c{chain - 1}"].isNotNull(), made).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(rows, of_run))
+
+
 def signatures(text: Column | str, common: Sequence[str] = COMMON, chain: int = 2) -> Column:
     """``array<int>``: the sorted distinct hashes of a text's signatures.
 
@@ -55,8 +77,10 @@ def signatures(text: Column | str, common: Sequence[str] = COMMON, chain: int =
     found = F.regexp_extract_all(low, F.lit(_pattern(common, chain)), 1)
     inner = rf"[\x20\x09-\x0D]+(?:{word}[\x20\x09-\x0D]+)*"
     hashes = F.transform(found, lambda s: F.hash(F.regexp_replace(s, inner, " ")))
+    long_run = low.rlike(rf"(?<![^{SPACE}])(?:{word}[{SPACE}]++){{{SKIPPED + 1}}}")
+    distinct = F.array_sort(F.array_distinct(F.when(long_run, _long_runs(low, common, chain)).otherwise(hashes)))
     whole = F.array(F.hash(F.concat(F.lit("\n"), low)))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(whole)
+    return F.when(F.size(distinct) > 0, distinct).otherwise(whole)
 
 
 def fingerprint(signature_hashes: Column | str) -> Column:
