@@ -108,13 +108,15 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """Per row ``id_col, source_col, size, source_size, target, taken, passes, part``.
+    """Per row ``id_col, source_col, size, source_size, target, taken, passes, part, slots, n_slots``.
 
     The rows of a source are shuffled by a seeded hash of id and size and laid
     out as one line of words, cut into blocks of ``block`` words; the schedule
     takes blocks, and ``taken`` adds up the words of a row in all blocks taken.
     ``passes`` whole copies and the first ``part`` words of another make up
-    ``taken``. Nulls: a null text has size 0, rows of the null source form a
+    ``taken``; ``slots`` lists, copy by copy, the slot of the schedule in which
+    the row's first word is drawn (at most ``most`` + 1 of them; null for rows
+    that are not taken), out of ``n_slots``. Nulls: a null text has size 0, rows of the null source form a
     source, rows of equal id and size are interchangeable. Empty tables give an
     empty result. No window or join holds a source in one task: lines are
     positions in a range-partitioned order.
@@ -129,16 +131,22 @@ def mix(
     line = global_rank(rows, [order, F.col("id"), F.col("size")], ["source"], "row", running={"at": "size"})
     line = materialize(line, "line")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
+    most_slots = slots.agg(F.max("slot")).first()[0] or 0
     pieces = line.filter("size > 0").select(
         F.col("source").alias("of"), "row", "at", "size", F.explode(F.sequence(first, last)).alias("_block")
     )
-    drawn = slots.groupBy("source", F.floor(F.col("start") / block).alias("_cut"), "start", "stop").agg(F.count("*").alias("times"))
+    drawn = slots.groupBy("source", F.floor(F.col("start") / block).alias("_cut"), "start", "stop").agg(
+        F.count("*").alias("times"), F.collect_list(F.struct("turn", "slot")).alias("_turns")  # a few passes
+    )
     met = F.col("of").eqNullSafe(F.col("source")) & (F.col("_block") == F.col("_cut"))
     overlap = F.least(F.col("stop"), F.col("at") + F.col("size")) - F.greatest(F.col("start"), F.col("at"))
     taken = (
         pieces.join(drawn, met)
         .groupBy("of", "row")
-        .agg(F.sum(F.greatest(overlap, F.lit(0)) * F.col("times")).alias("taken"))
+        .agg(
+            F.sum(F.greatest(overlap, F.lit(0)) * F.col("times")).alias("taken"),
+            F.array_sort(F.flatten(F.collect_list(F.when((F.col("_cut") == F.floor(F.col("at") / block)) & (overlap > 0), F.col("_turns"))))).alias("_turns"),
+        )
         .withColumnRenamed("row", "_row")
     )
     same = F.col("of").eqNullSafe(F.col("source")) & (F.col("row") == F.col("_row"))
@@ -154,29 +162,39 @@ def mix(
         "taken",
         passes.alias("passes"),
         (F.col("taken") - passes * F.col("size")).alias("part"),
+        F.when(F.col("taken") > 0, F.col("_turns.slot")).alias("slots"),
+        F.lit(most_slots + 1).cast("long").alias("n_slots"),
     )
 
 
 def drawn_documents(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that `mix` takes: ``passes`` copies of each, and one more with the first ``part`` words.
 
-    A part has its words joined by single spaces. Rows of equal id, source and
-    size get the decisions of the plan in order of their text. All columns of
-    ``docs`` stay as they are but the text of a part.
+    The rows lie in the order of the schedule: partitions are spans of slots,
+    sorted by slot, so a reader of consecutive rows meets the sources in their
+    target shares. A part has its words joined by single spaces. Rows of equal
+    id, source and size get the decisions of the plan in order of their text.
+    All columns of ``docs`` stay as they are but the text of a part.
     """
     keys = ["_id", "_source", "_size"]
     named = docs.select("*", F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words_of(text_col).alias("_size"))
     same = Window.partitionBy(*keys)
     named = named.withColumn("_twin", F.row_number().over(same.orderBy(text_col)))
     chosen = plan.filter("taken > 0").select(
-        F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_n"), "passes", "part"
+        F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_n"), "passes", "part", "slots", "n_slots"
     )
     order = Window.partitionBy("_i", "_s", "_n").orderBy(F.desc("passes"), F.desc("part"))
     chosen = chosen.withColumn("_t", F.row_number().over(order))
     met = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
     taken = named.join(chosen, met & (F.col("_twin") == F.col("_t")))
     last = F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
-    every = taken.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("passes").cast("int")), last)))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("passes").cast("int")), last)
+    every = taken.select("*", F.posexplode(copies).alias("_copy", "_words"))
     words = F.filter(F.split(text_col, WHITE), lambda w: w != "")
     text = F.when(F.col("_words") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
-    return every.withColumn(text_col, text).select(*docs.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.coalesce(F.get("slots", F.col("_copy")), F.col("n_slots") - 1)
+    span = F.least(F.floor(slot * F.lit(parts) / F.col("n_slots")), F.lit(parts - 1)).cast("int")
+    placed = every.withColumn(text_col, text).select(*docs.columns, slot.alias("_slot"), span.alias("_span"), "_copy")
+    laid = placed.repartitionById(parts, F.col("_span")).sortWithinPartitions("_slot", F.col(id_col), "_copy")
+    return laid.select(*docs.columns)
