@@ -128,7 +128,11 @@ def binomial_tail(k: int, n: int, p: float) -> float:
         return 0.0
     # P(X <= k) = I_{1-p}(n - k, k + 1)
     a, b, x = n - k, k + 1, 1 - p
-    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(p))
+    if k < 10_000:  # differences of large log-gammas would lose digits
+        ways = math.fsum(math.log(n - i) for i in range(k + 1)) - math.lgamma(b)
+    else:
+        ways = math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b)
+    front = math.exp(ways + a * math.log1p(-p) + b * math.log(p))
     if x * (a + b + 2) < a + 1:
         return front * _fraction(a, b, x) / a
     return 1 - front * _fraction(b, a, 1 - x) / b
