@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators.bpe import MAX_PIECES, BpeModel
+from bitloom.plans.ranking import global_rank
 from bitloom.plans.storage import fits, materialize, new_path
 
 
@@ -35,8 +36,9 @@ def numbered_lines(spark: SparkSession, *paths: str, path_number: str | None = N
     cores; files that are added or removed shift the numbers of those behind.
 
     The lines of each split are counted here, which reads the files once more
-    without parsing them. The counts (one row for each 128 MB or so) go to all
-    tasks if they are at most two million. If the files or the sizes of splits
+    without parsing them. The counts (one row for each 128 MB or so) are added
+    up on the driver and go to all tasks if they are at most two million; beyond
+    that they stay a table, which is joined. If the files or the sizes of splits
     have changed when rows are read, an error is raised instead of wrong ids.
     """
     located, placed = [], []
@@ -53,19 +55,35 @@ def numbered_lines(spark: SparkSession, *paths: str, path_number: str | None = N
         placed.append(
             rows.groupBy("_path", "_file", "_block", part).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
         )
-    blocks = materialize(_all(placed), "text-blocks")
-    file, before = Window.orderBy("_path", "_file"), Window.partitionBy("_path", "_file").orderBy("_block")
-    earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.shiftleft((F.dense_rank().over(file) - 1).cast("long"), LINE_BITS)  # one row for each split of a file
-    starts = materialize(blocks.select("_path", "_file", "_block", "_part", (number + earlier - F.col("_from")).alias("_shift")), "text-starts")
-    if fits(starts, SENT_BLOCKS):
-        starts = F.broadcast(starts)
+    starts = _starts(spark, _all(placed))
     shift = F.coalesce("_shift", F.raise_error(F.lit("the files or their splits have changed since they were numbered")).cast("long"))
     joined = _all(located).join(starts, ["_path", "_file", "_block", "_part"], "left")
     found = [F.col("_path").alias(path_number)] if path_number else []
     return joined.select((F.col("_at") + shift).alias("line_id"), *found, "value")
 
 
+def _starts(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+    """``_path, _file, _block, _part, _shift``: what makes a line id of a row number, for every split of a file."""
+    keys = ["_path", "_file", "_block", "_part"]
+    few = blocks.limit(SENT_BLOCKS + 1).collect()  # numbers of splits, not of lines
+    if len(few) <= SENT_BLOCKS:
+        shifts, file, before, last = [], -1, 0, None
+        for row in sorted(few, key=lambda r: (r["_path"], r["_file"], r["_block"])):
+            if (row["_path"], row["_file"]) != last:
+                file, before, last = file + 1, 0, (row["_path"], row["_file"])
+            shifts.append((*[row[k] for k in keys], (file << LINE_BITS) + before - row["_from"]))
+            before += row["_n"]
+        schema = "_path int, _file string, _block long, _part long, _shift long"
+        return F.broadcast(spark.createDataFrame(shifts, schema))
+    blocks = materialize(blocks, "text-blocks")
+    order = Window.partitionBy("_path", "_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = global_rank(blocks.select("_path", "_file").distinct(), [F.col("_path"), F.col("_file")], name="_number")
+    placed = blocks.join(files, ["_path", "_file"])
+    number = F.shiftleft((F.col("_number") - 1).cast("long"), LINE_BITS)
+    shift = number + F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_from")
+    return materialize(placed.select(*keys, shift.alias("_shift")), "text-starts")
+
+
 def _all(tables: Sequence[DataFrame]) -> DataFrame:
     whole = tables[0]
     for table in tables[1:]:
@@ -114,13 +132,16 @@ def bitext_from_lines(lines: DataFrame, src: str = "zh", tgt: str = "en", requir
 
 
 def read_bitext_jsonl(
-    spark: SparkSession, path: str, src: str = "zh", tgt: str = "en", require_both: bool = True
+    spark: SparkSession, path: str, src: str = "zh", tgt: str = "en", require_both: bool = True, keyed: bool = True
 ) -> DataFrame:
     """Pairs of a JSON-lines file; blank and invalid lines are skipped, a missing file raises.
 
     ``pair_id`` is the place of the line (`numbered_lines`): unique, ascending
-    in file order, and the same in every plan.
+    in file order, and the same in every plan. Without ``keyed`` there is none,
+    and the files are read once only.
     """
+    if not keyed:
+        return bitext_from_lines(spark.read.text(path), src, tgt, require_both)
     rows = _parsed_lines(numbered_lines(spark, path), src, tgt, ["line_id"]).filter(_accepted(require_both))
     return rows.select(F.col("line_id").alias("pair_id"), "src", "tgt")
 

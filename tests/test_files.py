@@ -104,7 +104,9 @@ def test_metrics_files(spark, tmp_path):
     assert records == [{"loss": 3.5, "epoch": 0.1}, {"eval_bleu": 11.2, "epoch": 1.0}]
 
 
-def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+@pytest.mark.parametrize("sent", [files.SENT_BLOCKS, 1])
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(files, "SENT_BLOCKS", sent)
     folder, lines = tmp_path / "in", {}
     folder.mkdir()
     for k, name in enumerate(["b.txt", "a.txt", "c.txt", "empty.txt"]):
