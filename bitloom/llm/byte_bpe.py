@@ -16,6 +16,7 @@ import base64
 import functools
 import re
 from array import array
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -259,6 +260,26 @@ class Encoder:
         return self._encode_pieces(first) + b"".join(found)
 
 
+def _encoding(shared) -> Callable[[pa.Array], pa.Array]:
+    def encode(texts: pa.Array) -> pa.Array:
+        known = shared.value
+        if "encoder" not in known:
+            known["encoder"] = Encoder(known["tokens"], known["left"], known["right"], known["pattern"])
+        encoder = known["encoder"]
+        found = [encoder.encode(text.as_py() or "") for text in texts]
+        return lists_of(np.frombuffer(b"".join(found), np.int32), np.array([len(ids) // 4 for ids in found], np.int64))
+
+    return encode
+
+
+def _decoding(shared) -> Callable[[pa.Array], pa.Array]:
+    def decode(lists: pa.Array) -> pa.Array:
+        token = shared.value["tokens"].__getitem__
+        return pa.array([b"".join(map(token, row.tolist())) for row in slices(lists)], pa.binary())
+
+    return decode
+
+
 class ByteBpe:
     """Encoding and decoding columns for one vocabulary file.
 
@@ -275,26 +296,26 @@ class ByteBpe:
 
     def encode(self, text: Column | str) -> Column:
         """``array<int>``: the token ids of a text."""
-        shared = self.shared
+        encoded = _encoding(self.shared)
+        encode = F.arrow_udf(lambda texts: encoded(texts), "array<int>")
+        return encode(F.col(text) if isinstance(text, str) else text)
 
-        @F.arrow_udf("array<int>")
-        def encode(texts: pa.Array) -> pa.Array:
-            known = shared.value
-            if "encoder" not in known:
-                known["encoder"] = Encoder(known["tokens"], known["left"], known["right"], known["pattern"])
-            encoder = known["encoder"]
-            found = [encoder.encode(text.as_py() or "") for text in texts]
-            return lists_of(np.frombuffer(b"".join(found), np.int32), np.array([len(ids) // 4 for ids in found], np.int64))
+    def round_trip(self, text: Column | str) -> Column:
+        """``struct<ids, decoded>``: the token ids of a text and the bytes that they decode to, each made once.
 
-        return encode(F.col(text) if isinstance(text, str) else text)
+        Columns that build on `encode` and on `decode` of it would encode twice.
+        """
+        encoded, decoded = _encoding(self.shared), _decoding(self.shared)
 
-    def decode(self, ids: Column | str) -> Column:
-        """``binary``: the bytes of token ids; null counts as no ids, an unknown id raises."""
-        shared = self.shared
+        def both(texts: pa.Array) -> pa.Array:
+            ids = encoded(texts)
+            return pa.StructArray.from_arrays([ids, decoded(ids)], ["ids", "decoded"])
 
-        @F.arrow_udf("binary")
-        def decode(lists: pa.Array) -> pa.Array:
-            token = shared.value["tokens"].__getitem__
-            return pa.array([b"".join(map(token, row.tolist())) for row in slices(lists)], pa.binary())
+        column = F.col(text) if isinstance(text, str) else text
+        return F.arrow_udf(lambda texts: both(texts), "struct<ids: array<int>, decoded: binary>")(column)
 
+    def decode(self, ids: Column | str) -> Column:
+        """``binary``: the bytes of token ids; null counts as no ids, an unknown id raises."""
+        decoded = _decoding(self.shared)
+        decode = F.arrow_udf(lambda lists: decoded(lists), "binary")
         return decode(F.col(ids) if isinstance(ids, str) else ids)

@@ -103,8 +103,8 @@ def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = table(spark, folder, "documents").select("doc_id", bpe.encode("text").alias("ids"))
-    return rows.withColumn("decoded", bpe.decode("ids")).select(
+    rows = table(spark, folder, "documents").select("doc_id", bpe.round_trip("text").alias("both")).select("doc_id", "both.*")
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
