@@ -51,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids beside the document's names, and whether they decode to the text."""
     bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = docs.withColumn("ids", bpe.encode("text")).withColumn("_decoded", bpe.decode("ids"))
+    rows = docs.withColumn("_both", bpe.round_trip("text"))
+    rows = rows.withColumns({"ids": F.col("_both.ids"), "_decoded": F.col("_both.decoded")})
     whole = F.col("_decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), whole.alias("round_trip"))
 
