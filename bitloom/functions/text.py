@@ -38,9 +38,10 @@ def normalize_text(col: Column | str, once: bool = False) -> Column:
     """
     clean = _clean_once if once else _clean_udf
     text = F.col(col) if isinstance(col, str) else col
-    # printable ASCII only needs its spaces cut, and does not travel to Python
-    other = F.rlike(text, F.lit("[^ -~]"))
-    return F.when(other, clean(F.when(other, text))).otherwise(F.coalesce(F.trim(text), F.lit("")))
+    # ASCII only needs its control characters dropped and its spaces cut, and does not travel to Python
+    other = F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    plain = F.trim(F.regexp_replace(text, r"[\x00-\x1F\x7F]+", ""))
+    return F.when(other, clean(F.when(other, text))).otherwise(F.coalesce(plain, F.lit("")))
 
 
 def normalize_text_basic(col: Column | str) -> Column:

@@ -88,3 +88,16 @@ def test_repeated_ngrams(spark):
     values = [["a", "b", "a", "b"], ["a", "b", "c"], ["a"], [], ["a", "a"]]
     rows = column(spark, values, "t array<string>").select(repeated_ngrams("t", 2), repeated_ngrams("t", 1)).collect()
     assert [tuple(r) for r in rows] == [(True, True), (False, False), (False, False), (False, False), (False, True)]
+
+
+def test_ascii_does_not_travel_to_python(spark, monkeypatch):
+    from bitloom.functions import text
+
+    def only_other(texts):
+        assert not any(isinstance(t, str) and t.isascii() for t in texts)
+        return text._clean_all(texts)
+
+    monkeypatch.setattr(text, "_clean_udf", F.pandas_udf(only_other, "string"))
+    texts = [" a\nb\tc\x00\x7f ", "\x1f x  y\r\n", "", None, "é\n", "".join(map(chr, range(128)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("n", text.normalize_text("t"))
+    assert {r.i: r.n for r in rows.collect()} == {i: text._clean(t or "") for i, t in enumerate(texts)}
