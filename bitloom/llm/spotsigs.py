@@ -80,7 +80,8 @@ def signatures(text: Column | str, common: Sequence[str] = COMMON, chain: int =
     long_run = low.rlike(rf"(?<![^{SPACE}])(?:{word}[{SPACE}]++){{{SKIPPED + 1}}}")
     distinct = F.array_sort(F.array_distinct(F.when(long_run, _long_runs(low, common, chain)).otherwise(hashes)))
     whole = F.array(F.hash(F.concat(F.lit("\n"), low)))
-    return F.when(F.size(distinct) > 0, distinct).otherwise(whole)
+    # a name of its own, or the condition and the value would each read the text
+    return F.transform(F.array(distinct), lambda d: F.when(F.size(d) > 0, d).otherwise(whole))[0]
 
 
 def fingerprint(signature_hashes: Column | str) -> Column:

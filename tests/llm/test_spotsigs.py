@@ -44,3 +44,9 @@ def test_very_long_runs_take_linear_time(spark):
     start = time.time()
     assert rows.select(F.size(spotsigs.signatures("t"))).first()[0] == 3
     assert time.time() - start < 60
+
+
+def test_text_is_searched_once(spark):
+    found = spark.createDataFrame([("the river runs",)], "t string").select(spotsigs.signatures("t").alias("s"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("array_sort(") == 1
