@@ -29,6 +29,7 @@ PRE_TOKEN_IN_LINES = (
 
 MAX_PIECES = 1_000_000
 CACHED_WORDS = 500_000
+SUMMING_TASKS = 4
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -130,7 +131,9 @@ def _pair_changes(
         columns = [pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(list(found.values()), pa.int64())]
         yield pa.record_batch(columns, ["l", "r", "change"])
 
-    partial = words.mapInArrow(changes, "l int, r int, change long")
+    # every task has summed its own: few tasks add up the changes of a round, which is all scheduling otherwise
+    parts = SUMMING_TASKS if sought else words.sparkSession.sparkContext.defaultParallelism
+    partial = words.mapInArrow(changes, "l int, r int, change long").repartition(parts, "l", "r")
     return partial.groupBy("l", "r").agg(F.sum("change").alias("change")).filter("change <> 0")
 
 

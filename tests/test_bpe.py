@@ -138,3 +138,17 @@ def test_files_round_trip(spark, trained, tmp_path):
     assert part.read_text(encoding="utf-8").startswith("#version: 0.2\n")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.load_bpe(spark, str(tmp_path / "absent"))
+
+
+def test_changes_of_a_round_are_added_up_by_few_tasks(spark):
+    words = spark.createDataFrame([(b"abab", 3), (b"cab", 2)], "word binary, freq long")
+    spelled = [bytes([b]) for b in range(256)]
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        changes = bpe._pair_changes(words, list(range(256)), spelled + [b"ab"], [(97, 98, 256)], 0)
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        found = {(r.l, r.r): r.change for r in changes.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert plan.count("Exchange") == 1 and ", 64)" not in plan
+    assert found == {(97, 98): -8, (98, 97): -3, (256, 256): 3, (99, 97): -2, (99, 256): 2}
