@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, LongType
 from bitloom.functions.ngrams import tokenize_13a
 
 ORDER = 4
+TOKENS_AT_ONCE = 200_000
 
 
 def align_hyp_ref(hyp: DataFrame, ref: DataFrame, key: str = "sent_id", strict: bool = True) -> DataFrame:
@@ -44,7 +45,20 @@ def _gram_ids(tokens: np.ndarray, n: int, below: np.ndarray | None) -> np.ndarra
 
 
 def _matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    """Clipped n-gram matches of each row, for n = 1 to ORDER, on whole columns."""
+    """Clipped n-gram matches of each row, for n = 1 to ORDER.
+
+    The columns are taken in runs of rows with some ``TOKENS_AT_ONCE`` tokens, so
+    that memory depends on the tokens of a run or of one row, not of a batch.
+    """
+    tokens = np.cumsum(sum(pc.list_value_length(side).fill_null(0).to_numpy().astype(np.int64) for side in (hyp, ref)))
+    cuts = np.flatnonzero(np.diff(tokens // TOKENS_AT_ONCE, prepend=0)) if len(hyp) else np.array([], np.int64)
+    ends = [*cuts[cuts > 0].tolist(), len(hyp)]
+    runs = [_run_matches(hyp[a:b], ref[a:b]) for a, b in zip([0, *ends], ends)]
+    return pa.concat_arrays(runs)
+
+
+def _run_matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """The matches of some rows, on whole columns."""
     rows = len(hyp)
     sizes = np.concatenate([pc.list_value_length(side).fill_null(0).to_numpy() for side in (hyp, ref)])
     tokens = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,14 @@ def test_epoch_metrics_and_hooks(spark):
     assert tuple(metrics.compute_metric("rows", log).first()) == (3, "rows")
     with pytest.raises(KeyError):
         metrics.compute_metric("absent", log)
+
+
+def test_matches_do_not_depend_on_the_tokens_taken_at_once(monkeypatch):
+    rng = random.Random(3)
+    lists = [[[rng.choice("abcd") for _ in range(rng.choice([0, 1, 3, 9, 60]))] for _ in range(50)] for _ in range(2)]
+    sides = [pa.array([None if k % 11 == 5 else row for k, row in enumerate(side)], pa.list_(pa.string())) for side in lists]
+    whole, taken, run = bleu._matches(*sides), [], bleu._run_matches
+    monkeypatch.setattr(bleu, "TOKENS_AT_ONCE", 40)
+    monkeypatch.setattr(bleu, "_run_matches", lambda *run_sides: taken.append(sum(len(s.flatten()) for s in run_sides)) or run(*run_sides))
+    assert bleu._matches(*sides) == whole and len(taken) > 10 and max(taken) <= 40 + 120
+    assert len(bleu._matches(*[s[:0] for s in sides])) == 0
