@@ -21,7 +21,9 @@ def topk_candidates(
     """
     if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         order = [F.desc(score), F.col(cand)]
-        ranked = global_rank(df, order, [key], "rank").filter(F.col("rank") <= k)
+        # ranges half as long as usual: the sampled cuts could else leave the best of one source in a single task
+        parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranked = global_rank(df, order, [key], "rank", parts=parts).filter(F.col("rank") <= k)
         return ranked.withColumn("rank", F.col("rank").cast("int"))
     best = Window.partitionBy(key).orderBy(F.desc(score), F.col(cand))
     return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -16,6 +16,7 @@ def global_rank(
     by: Sequence[str] = (),
     name: str = "rank",
     running: Mapping[str, str] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its ``by`` group.
 
@@ -29,11 +30,12 @@ def global_rank(
     partition; a small table (one row per partition and group) carries how many
     rows of the group lie in earlier partitions. The laid-out rows are written
     once, because a recomputed range partitioning may cut at other places.
+    ``parts`` is the number of ranges, if not left to Spark.
     """
     by = list(by)
     keys = [F.col(c) for c in by] + list(order)
     laid = materialize(
-        df.repartitionByRange(*keys)
+        df.repartitionByRange(*([parts] if parts else []), *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id()),
         "rank",
