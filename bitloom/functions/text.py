@@ -69,45 +69,36 @@ def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
 # A full stop ends a sentence if white space follows and its word has two characters without a
 # stop before it (not "J." or "e.g.") and is none of these. Common abbreviations.
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "jr", "sr", "etc", "fig", "inc")
+_CLOSERS = r"\]\)}>\"'»”’"
+_TEXT_END = rf"(?<=[^.]\.)([{_CLOSERS} ]*)$"
 _SENTENCE_END = (
-    rf"(?<=[^\s.]{{2}})(?<!(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ABBREVIATIONS)}))(\.)([\]\)}}>\"'»”’]*)(?=\s)",
-    r" $1 $2",
+    rf"(?<=[^\s.]{{2}}\.)(?<!(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ABBREVIATIONS)})\.)([{_CLOSERS}]*)(?=\s)"
 )
-
-# The published Penn Treebank word rules, with the rule for the ends of inner sentences.
-_PTB_RULES = [
-    (r"([«“‘„]|[`]+)", r" $1 "),
-    (r"^\"", r"``"),
-    (r"(``)", r" $1 "),
-    (r"([ \(\[{<])(\"|'{2})", r"$1 `` "),
-    (r"(?iU)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"$1 $2"),
-    _SENTENCE_END,
-    (r"([^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", r"$1 $2 $3 "),
-    (r"([:,])([^\d])", r" $1 $2"),
-    (r"([:,])$", r" $1 "),
-    (r"(\.{2,})", r" $1 "),
-    (r"([;@#$%&])", r" $1 "),
-    (r"([?!])", r" $1 "),
-    (r"([^'])' ", r"$1 ' "),
-    (r"([*])", r" $1 "),
-    (r"([\]\[\(\)\{\}<>])", r" $1 "),
-    (r"--", r" -- "),
-    (r"^(.*)$", r" $1 "),
-    (r"([»”’])", r" $1 "),
-    (r"''", r" '' "),
-    (r"\"", r" '' "),
-    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"$1 $2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"$1 $2 "),
-    (r"(?iU)\b(can)(not)\b", r" $1 $2 "),
-    (r"(?iU)\b(d)('ye)\b", r" $1 $2 "),
-    (r"(?iU)\b(gim)(me)\b", r" $1 $2 "),
-    (r"(?iU)\b(gon)(na)\b", r" $1 $2 "),
-    (r"(?iU)\b(got)(ta)\b", r" $1 $2 "),
-    (r"(?iU)\b(lem)(me)\b", r" $1 $2 "),
-    (r"(?iU)\b(more)('n)\b", r" $1 $2 "),
-    (r"(?iU)\b(wan)(na)(?=\s)", r" $1 $2 "),
-    (r"(?iU) ('t)(is)\b", r" $1 $2 "),
-    (r"(?iU) ('t)(was)\b", r" $1 $2 "),
+_MARKS = r"([:,])([:,])|([:,](?=\D|$)|\.{2,}|[;@#$%&?!])"
+
+# The published Penn Treebank word rules for text in small letters whose only white space is the
+# space. Rules without effect on one another share a pass, and a pass begins with a class of characters that are
+# rare in text, so that the others are looked at once.
+_PTB_OPENING = [
+    (r"(?=[\"'])(?:\"(?<=^\"|[ (\[{<«“‘„`]\"|^\"\")|''(?<=[ (\[{<«“‘„`]''|^\"''))", " `` "),
+    (r"(?U)(?=['`«‘-„])(?:(')(?=(?!re|ve|ll|m|t|s|d|n)\w\b)|([«“‘„]|``|`))", r"$1 $2 "),
+]
+# the last stop of the text, colons and commas (of two in a row the second stays with what follows), other marks
+_PTB_MARKS = (rf"(?=[.,:;@#$%&?!])(?:(\.){_TEXT_END}|{_MARKS})", r" $1$3$5 $2$4")
+_PTB_STOPS_AND_MARKS = (rf"(?=[.,:;@#$%&?!])(?:(\.)(?:{_TEXT_END}|{_SENTENCE_END})|{_MARKS})", r" $1$4$6 $2$3$5")
+_PTB_CLOSING = [
+    (r"'(?<=[^']')(?= )", r" '"),
+    (r"(?=[*\]\[(){}<>»'\-’-”])([*\]\[(){}<>»”’]|--|'')", r" $1 "),
+]
+_PTB_CLITICS = [
+    # a clitic may have been parted from one that follows
+    (r"(?=['n])('(?<=[^' ]')(?:(?:ll|re|ve)(?=(?:'[smd]?)? )|[smd]?(?= ))|n't(?<=[^' ]n't)(?=(?:'[smd]?)? ))", r" $1"),
+    (
+        r"(?U)(?=[cdglmw])\b(can(?=not\b)|d(?='ye\b)|g[iı]m(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)"
+        r"|more(?='n\b)|wan(?=na\s))(not|'ye|me|na|ta|'n)",
+        r" $1 $2 ",
+    ),
+    (r"(?U) ('t)(?:([iı]s)\b(?:('t)(was)\b)?|(was)\b)", r" $1 $2$5 $3 $4 "),
 ]
 
 # The published inverse rules that re-attach punctuation and clitics.
@@ -153,10 +144,11 @@ def tokenize_ptb(col: Column | str, sentence_ends: Callable[[Column], Column] |
     a trained model); without it, a short list of abbreviations decides.
     """
     text = F.lower(normalize_text(col))
-    if sentence_ends is None:
-        return _words(_chain(text, _PTB_RULES))
-    at = _PTB_RULES.index(_SENTENCE_END)
-    return _words(_chain(sentence_ends(_chain(text, _PTB_RULES[:at])), _PTB_RULES[at + 1 :]))
+    text = _chain(text, _PTB_OPENING)
+    marks = [_PTB_STOPS_AND_MARKS] if sentence_ends is None else [_PTB_MARKS]
+    text = _chain(text if sentence_ends is None else sentence_ends(text), marks)
+    text = F.replace(_chain(text, _PTB_CLOSING), F.lit('"'), F.lit(" '' "))
+    return _words(_chain(F.concat(F.lit(" "), text, F.lit(" ")), _PTB_CLITICS))
 
 
 def detokenize(tokens: Column | str) -> Column:

@@ -1,3 +1,5 @@
+import itertools
+import random
 import unicodedata
 
 import pytest
@@ -57,6 +59,58 @@ def test_tokenize_ptb(spark, text, tokens):
     assert column(spark, [text]).select(tx.tokenize_ptb("t")).first()[0] == tokens.split()
 
 
+# the published rules one after the other, with the rule for the ends of inner sentences
+ONE_BY_ONE = [
+    (r"([«“‘„]|[`]+)", r" $1 "),
+    (r"^\"", r"``"),
+    (r"(``)", r" $1 "),
+    (r"([ \(\[{<])(\"|'{2})", r"$1 `` "),
+    (r"(?iU)(')(?!re|ve|ll|m|t|s|d|n)(\w)\b", r"$1 $2"),
+    (rf"(?<=[^\s.]{{2}})(?<!(?<![\p{{L}}\p{{N}}])(?:{'|'.join(tx.ABBREVIATIONS)}))(\.)([\]\)}}>\"'»”’]*)(?=\s)", r" $1 $2"),
+    (r"([^\.])(\.)([\]\)}>\"'»”’ ]*)\s*$", r"$1 $2 $3 "),
+    (r"([:,])([^\d])", r" $1 $2"),
+    (r"([:,])$", r" $1 "),
+    (r"(\.{2,})", r" $1 "),
+    (r"([;@#$%&])", r" $1 "),
+    (r"([?!])", r" $1 "),
+    (r"([^'])' ", r"$1 ' "),
+    (r"([*])", r" $1 "),
+    (r"([\]\[\(\)\{\}<>])", r" $1 "),
+    (r"--", r" -- "),
+    (r"^(.*)$", r" $1 "),
+    (r"([»”’])", r" $1 "),
+    (r"''", r" '' "),
+    (r"\"", r" '' "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"$1 $2 "),
+    *[(rf"(?iU)\b({a})({b})\b", r" $1 $2 ") for a, b in map(str.split, ("can not", "d 'ye", "gim me", "gon na", "got ta", "lem me", "more 'n"))],
+    (r"(?iU)\b(wan)(na)(?=\s)", r" $1 $2 "),
+    (r"(?iU) ('t)(is)\b", r" $1 $2 "),
+    (r"(?iU) ('t)(was)\b", r" $1 $2 "),
+]
+
+
+def test_ptb_passes_give_what_the_rules_give_one_by_one(spark):
+    rng = random.Random(5)
+    parts = list("'\"`«“‘„»”’.,:;@#$%&?!*()[]{}<>-_ab9 ''.. ,") + "'' `` -- .. n't 's 'll 're 've 'd 'm mr e.g. ab é etc".split()
+    parts += "cannot d'ye gimme gonna gotta lemme more'n wanna 'tis 'twas gımme".split() + ["\u0301", "\U0001f600"]
+    texts = {"".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(20_000)}
+    texts |= {"".join(x) for x in itertools.product("'\" .,(a", repeat=4)}
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").repartition(4)
+    stops = lambda c: F.regexp_replace(c, r"(\w)\.(\S*) ", r"$1 . $2 ")
+    text = F.lower(tx.normalize_text("t"))
+    at = 5  # the ends of inner sentences
+    known = tx._words(tx._chain(text, ONE_BY_ONE))
+    given = tx._words(tx._chain(stops(tx._chain(text, ONE_BY_ONE[:at])), ONE_BY_ONE[at + 1 :]))
+    both = rows.select("t", tx.tokenize_ptb("t").alias("a"), known.alias("b"), tx.tokenize_ptb("t", stops).alias("c"), given.alias("d"))
+    assert both.filter("a <> b or c <> d").collect() == []
+
+
+def test_ptb_looks_at_a_text_in_few_passes(spark):
+    plan = column(spark, ["a"]).select(tx.tokenize_ptb("t").alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_replace(") <= 10
+
+
 def test_detokenize_reattaches_punctuation(spark):
     tokens = "they 'll save ( a lot ) , and i can not wait ! it 's 5 % off .".split()
     row = column(spark, [tokens], "t array<string>").select(tx.detokenize("t")).first()
