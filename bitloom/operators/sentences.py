@@ -49,32 +49,44 @@ def _ratio(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return -2 * (alone - together)
 
 
-def _neighbours(df: DataFrame, text_col: str) -> DataFrame:
-    """``word, next`` for every word; the last of a row has none."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
-    rows = df.select(words.alias("w"))
-    return rows.select(F.inline(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.size("w")).alias("next"))))
+def _words(text_col: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def _is_mark(word: Column) -> Column:
+    return word.startswith("?") | word.startswith("!")
 
 
 def _kind(word: Column) -> Column:
     """The word in lower case without its stops."""
-    return F.lower(F.regexp_replace(word, r"\.+$", ""))
+    return F.lower(F.rtrim(word, F.lit(".")))
 
 
 def _stopped(word: Column) -> Column:
     """One full stop follows; more are an ellipsis."""
-    return word.rlike(r"[^.]\.$")
+    return word.endswith(".") & ~word.endswith("..")
+
+
+def _word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """``word, next, n``: the words as written, with the word that follows where a sentence may end, else null."""
+    rows = df.select(_words(text_col).alias("w"))
+    pairs = rows.select(F.inline(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.size("w")).alias("next"))))
+    may_end = (_stopped(F.col("word")) | _is_mark(F.col("word"))) & ~_is_mark(F.col("next"))
+    return pairs.groupBy("word", F.when(may_end, F.col("next")).alias("next")).agg(F.count("*").alias("n"))
+
+
+def _of_types(words: DataFrame) -> DataFrame:
+    word, first = F.col("word"), F.substring("word", 1, 1)
+    number = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    return words.filter(~_is_mark(word)).groupBy(_kind(word).alias("type")).agg(
+        number(_stopped(word)).alias("stopped"), number(~_stopped(word)).alias("bare"), number(first != F.lower(first)).alias("upper")
+    )
 
 
 def type_counts(df: DataFrame, text_col: str) -> DataFrame:
     """``type, stopped, bare, upper`` of every word type: with and without a full stop, and with a first capital."""
-    words = _neighbours(df, text_col).select("word").filter(~F.col("word").rlike("^[?!]"))
-    first = F.substring("word", 1, 1)
-    return words.groupBy(_kind(F.col("word")).alias("type")).agg(
-        F.sum(_stopped(F.col("word")).cast("long")).alias("stopped"),
-        F.sum((~_stopped(F.col("word"))).cast("long")).alias("bare"),
-        F.sum((first != F.lower(first)).cast("long")).alias("upper"),
-    )
+    words = df.select(F.explode(_words(text_col)).alias("word"))
+    return _of_types(words.groupBy("word").agg(F.count("*").alias("n")))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -96,22 +108,21 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 def train_sentence_model(df: DataFrame, text_col: str) -> SentenceModel:
     """A model of the texts of ``text_col``, in the case in which they are written.
 
-    Null and empty texts add nothing. Only tables of word types are kept, and
-    the pairs of words around a stop that may be no sentence end.
+    Null and empty texts add nothing. The texts are read once; only tables of
+    words and of the pairs around a stop are kept.
     """
-    counts = materialize(type_counts(df, text_col), "word-types")
+    words = materialize(_word_counts(df, text_col), "words")
+    counts = materialize(_of_types(words), "word-types")
     scored = abbreviation_scores(counts)
     short = materialize(scored.filter(F.col("score") >= ABBREVIATION).select("type"), "abbreviations")
     total = counts.agg(F.sum(F.col("stopped") + F.col("bare"))).first()[0] or 0
 
-    pairs = _neighbours(df, text_col).filter(F.col("next").isNotNull() & ~F.col("next").rlike("^[?!]"))
-    ends = pairs.filter(_stopped(F.col("word")) | F.col("word").rlike("^[?!]"))
     following = F.substring("next", 1, 1)
     lower = (following == F.lower(following)) & (following != F.upper(following))
     around = materialize(
-        ends.groupBy(_kind(F.col("word")).alias("left"), _kind(F.col("next")).alias("right")).agg(
-            F.count("*").alias("n"), F.sum(lower.cast("long")).alias("lower")
-        ),
+        words.filter(F.col("next").isNotNull())
+        .groupBy(_kind(F.col("word")).alias("left"), _kind(F.col("next")).alias("right"))
+        .agg(F.sum("n").alias("n"), F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("lower")),
         "words-around-stops",
     )
     marked = around.join(short.withColumn("_short", F.lit(True)), F.col("left") == F.col("type"), "left").drop("type")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from bitloom.functions.text import tokenize_ptb
 from bitloom.operators import sentences
@@ -121,3 +122,17 @@ def test_no_text(spark):
     assert found[0] == ["mr", ".", "smith", "went", ".", "home", "(", "again", ".", ")", "now"] and found[1:] == [[], []]
     with pytest.raises(ValueError, match="at most"):
         sentences.sentence_ends(sentences.SentenceModel(spark.range(3).selectExpr("string(id) AS type", "true AS abbreviation", "false AS starter", "false AS lower_start"), model.collocations), max_types=2)
+
+
+def test_training_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = [" ".join(w for w, _ in t) for t in labelled(4, 50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(counted.asNondeterministic()("t").alias("t"))
+    sentences.train_sentence_model(rows, "t")
+    assert read.value == len(texts)
