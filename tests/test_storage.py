@@ -57,3 +57,15 @@ def test_drop_intermediate(spark):
     assert os.path.isdir(folder)
     storage.drop_intermediate(spark)
     assert not os.path.exists(folder) and not spark.catalog.tableExists("some_named_table")
+
+
+def test_a_table_that_one_task_reads_is_spread(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(6000, numPartitions=1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    dealt = storage.spread(one, "spread")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(r.id for r in dealt.collect()) == [*range(6000)] and max(sizes) <= 3000
+    few, even = spark.range(100, numPartitions=1), spark.range(6000, numPartitions=4)
+    assert storage.spread(few, "spread") is few and storage.spread(even, "spread") is even
