@@ -26,7 +26,11 @@ def _clean_all(texts: pd.Series) -> pd.Series:
 
 
 _clean_udf = F.pandas_udf(_clean_all, StringType())
-_clean_once = F.pandas_udf(_clean_all, StringType()).asNondeterministic()
+
+
+def _clean_once(text: Column) -> Column:
+    # made anew: a used function holds a handle of the JVM, and this module travels to the workers by value
+    return F.pandas_udf(_clean_all, StringType()).asNondeterministic()(text)
 
 
 def normalize_text(col: Column | str, once: bool = False) -> Column:
